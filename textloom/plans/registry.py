@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import oracles, queries
+
+QUERIES = dict(queries.QUERIES)
+ORACLES = oracles.oracles(queries.CONSTANTS)
