@@ -21,19 +21,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONGEST_UNIT = 62
 #: Texts of a block, in characters: the distinct units of a block are looked up together.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 8_000_000
 _NO_MERGE = 2**31 - 1
 
 
@@ -157,80 +157,87 @@ def _marked(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list]]:
     """Numbers the blocks of a partition; the same rows in the same order get the same numbers."""
     part, k, size = TaskContext.get().partitionId(), 0, 0
-    for batch in batches:
-        if size > BLOCK_CHARS:
-            k, size = k + 1, 0
-        size += int(batch["text"].str.len().fillna(0).sum())
-        yield (part << 24) + k, batch
+    for whole in batches:
+        for at in range(0, len(whole), 1024):
+            batch = whole.slice(at, 1024)
+            texts = batch.column("text").to_pylist()
+            if size > BLOCK_CHARS:
+                k, size = k + 1, 0
+            size += sum(len(t) for t in texts if t)
+            yield (part << 24) + k, batch.column("doc_id").to_pylist(), texts
 
 
 def _units(docs: DataFrame, pattern: str) -> DataFrame:
     """(block, unit): the distinct units of each block."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find, now, seen = re.compile(pattern).findall, None, set()
-        for block, batch in _blocks(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, now, seen = re.compile(pattern).findall, 0, set()
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([now] * len(seen), pa.int64()), pa.array(list(seen), pa.string())], ["block", "unit"])
+        for block, _, texts in _blocks(batches):
             if block != now and seen:
-                yield pd.DataFrame({"block": now, "unit": list(seen)})
-                seen = set()
+                yield out()
+                seen.clear()
             now = block
-            for text in batch["text"]:
+            for text in texts:
                 if text:
                     seen.update(find(_marked(text)))
         if seen:
-            yield pd.DataFrame({"block": now, "unit": list(seen)})
+            yield out()
 
-    return docs.select("doc_id", "text").mapInPandas(run, "block long, unit string")
+    return docs.select("doc_id", "text").mapInArrow(run, "block long, unit string")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
     """(block, blob): the documents of a block, compressed for the shuffle."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
-        for block, batch in _blocks(batches):
-            rows = (batch["doc_id"].tolist(), [None if x is None else x for x in batch["text"].tolist()])
-            yield pd.DataFrame({"block": [block], "blob": [packer.compress(pickle.dumps(rows, protocol=5))]})
+        for block, doc_ids, texts in _blocks(batches):
+            blob = packer.compress(pickle.dumps((doc_ids, texts), protocol=5))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([blob], pa.binary())], ["block", "blob"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "block long, blob binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "block long, blob binary")
 
 
 def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit) distinct, of at most LONGEST_UNIT characters -> (unit, edges): array of (rank, s, ends, inner, id, n, score), by rank and place.
+    """(unit) distinct, of 2 to LONGEST_UNIT characters -> (unit, edges): the pieces of at least two characters inside it, as struct (rank, s, n, id, score), by rank and place."""
+    return _edges(units, pieces, "named_struct('rank', rank, 's', s, 'n', n, 'id', id, 'score', score)", 1)
 
-    ends and inner are the bits of the edge's two boundaries and of those between. A character that is no piece is an edge with -1 less its code point for id.
-    """
-    rows = [(p, i, pieces.ranks.get(p, _NO_MERGE), float(pieces.scores[p])) for p, i in pieces.ids.items()]
+
+def packed_lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """The same with each edge as one long: rank, place (six bits) and length (five bits)."""
+    if pieces.longest > 31:
+        raise ValueError("pieces of more than 31 characters")
+    return _edges(units, pieces, "shiftleft(cast(rank as bigint), 11) + s * 32 + n", 2)
+
+
+def _edges(units: DataFrame, pieces: Pieces, edge: str, least: int) -> DataFrame:
+    rows = [(p, i, pieces.ranks.get(p, _NO_MERGE), float(pieces.scores[p])) for p, i in pieces.ids.items() if len(p) >= least]
     # As many rows as the model has pieces, whatever the documents.
     table = F.broadcast(units.sparkSession.createDataFrame(rows, "piece string, id int, rank int, score double"))
-    parts = F.expr(
-        f"""flatten(transform(sequence(1, char_length(unit)), s -> transform(sequence(1, least({pieces.longest}, char_length(unit) - s + 1)),
-        l -> named_struct('s', s - 1, 'l', l, 'piece', substring(unit, s, l)))))"""
+    spans = F.expr(
+        f"""flatten(transform(sequence(1, char_length(unit) - {least - 1}), s -> transform(sequence({least}, least({pieces.longest}, char_length(unit) - s + 1)),
+        n -> named_struct('s', s - 1, 'n', n, 'piece', substring(unit, s, n)))))"""
     )
-    spans = units.select("unit", F.inline(parts))
-    edges = spans.join(table, "piece", "left").filter("id is not null or l = 1")
-    edge = F.expr(
-        f"""named_struct('rank', coalesce(rank, {_NO_MERGE}), 's', s, 'ends', shiftleft(1L, s) | shiftleft(1L, s + l),
-        'inner', shiftleft(1L, s + l) - shiftleft(1L, s + 1), 'id', coalesce(id, -1 - ascii(piece)), 'n', l, 'score', coalesce(score, -1e6D))"""
-    )
-    return edges.select("unit", edge.alias("edge")).groupBy("unit").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    matched = units.filter(F.char_length("unit") >= least).select("unit", F.inline(spans)).join(table, "piece")
+    return matched.select("unit", F.expr(edge).alias("edge")).groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
 
 
 def merge_fold(unit: str = "unit", edges: str = "edges") -> Column:
-    """Ids of a byte-pair model: the fold holds the present boundaries as bits, and ends with the edges that have none inside."""
+    """Boundaries of a byte-pair model's segments as bits of a long. The fold takes each edge (packed) whose ends are boundaries with exactly one between."""
+    s, e = "(cast(shiftright(x, 5) as int) & 63)", "((cast(shiftright(x, 5) as int) & 63) + (cast(x as int) & 31))"
+    inner = f"(shiftleft(1L, {e}) - shiftleft(2L, {s}))"
     return F.expr(
-        f"""aggregate({edges}, shiftleft(1L, char_length({unit}) + 1) - 1L,
-        (have, x) -> if((have & x.ends) = x.ends and bit_count(have & x.inner) = 1, have & ~x.inner, have),
-        have -> transform(array_sort(transform(filter({edges}, x -> (have & x.ends) = x.ends and (have & x.inner) = 0),
-        x -> named_struct('s', x.s, 'id', x.id))), x -> x.id))"""
+        f"""aggregate({edges}, shiftleft(2L, char_length({unit})) - 1L, (have, x) ->
+        if(bit_count(have & {inner}) = 1 and (shiftright(have, {s}) & shiftright(have, {e}) & 1L) = 1L, have & ~{inner}, have))"""
     )
 
 
 def viterbi_fold(unit: str = "unit", edges: str = "edges") -> Column:
-    """Ids of a unigram model: for each end the best sum of scores and its ids; ties go to the longer last piece."""
+    """Ids of a unigram model: for each end the best sum of scores and its ids; ties go to the longer last piece. Every character must be a piece."""
     best = "array_max(transform(filter({edges}, x -> x.s + x.n = e), x -> named_struct('score', best[x.s].score + x.score, 'n', x.n, 'ids', concat(best[x.s].ids, array(x.id)))))"
     return F.expr(
         f"""aggregate(sequence(1, char_length({unit})), array(named_struct('score', 0D, 'n', 0, 'ids', cast(array() as array<int>))),
@@ -238,6 +245,31 @@ def viterbi_fold(unit: str = "unit", edges: str = "edges") -> Column:
     )
 
 
+class _Tokens(dict):
+    """Token ids of units, as bytes of 32-bit numbers, from the folded boundaries; ``bad``: units that don't decode to themselves."""
+
+    def __init__(self, hashes: list[int], cuts: list[int], pieces: Pieces) -> None:
+        super().__init__()
+        self.cuts, self.pieces, self.bad = dict(zip(hashes, cuts, strict=True)), pieces, set()
+
+    def __missing__(self, unit: str) -> bytes:
+        p, n = self.pieces, len(unit)
+        wanted = unit.replace(SPACE, " ").encode("utf-8", "surrogatepass")
+        if n > LONGEST_UNIT or not p.ordered:
+            ids = encode_unit(unit, p)
+        else:  # a unit without an edge was not folded: all its boundaries stay
+            h = xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), 42)
+            have = self.cuts.get(h - (1 << 64) if h >> 63 else h, -1)
+            at = [k for k in range(n + 1) if have >> k & 1]
+            ids = expand([p.ids.get(x, -1 - ord(x[0])) for x in (unit[a:b] for a, b in zip(at, at[1:], strict=False))], p) if at[-1] == n else [p.unknown]
+            if b"".join([p.texts[i] for i in ids]) != wanted:  # another unit's boundaries, should two hashes be equal
+                ids = encode_unit(unit, p)
+        if b"".join([p.texts[i] for i in ids]) != wanted:
+            self.bad.add(unit)
+        self[unit] = out = np.array(ids, np.int32).tobytes()
+        return out
+
+
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """documents -> (doc_id, ids array<int>, n_tokens, round_trip), one row for each row.
 
@@ -247,29 +279,29 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     pieces = load(model)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     pairs = _units(rows, pieces.unit).repartition("unit")
-    short = pairs.filter(F.char_length("unit") <= LONGEST_UNIT) if pieces.ordered else pairs.limit(0)
+    short = pairs.filter(F.char_length("unit").between(2, LONGEST_UNIT) & F.lit(pieces.ordered))
     # The least block only keeps both columns in the shuffle, so that one shuffle serves this and the join.
     units = short.groupBy("unit").agg(F.min("block").alias("block")).filter("block is not null")
-    folded = lattice(units, pieces).select("unit", F.concat_ws(",", merge_fold()).alias("ids"))
-    known = short.join(folded, "unit").select("block", "unit", "ids")
+    folded = packed_lattice(units, pieces).select("unit", merge_fold().alias("cuts"))
+    known = short.join(folded, "unit").select("block", F.xxhash64("unit").alias("hash"), "cuts")
 
-    def run(blobs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    def run(blobs: pa.Table, found: pa.Table) -> pa.Table:
         find, opener = re.compile(pieces.unit).findall, zstandard.ZstdDecompressor()
-        tokens = {u: np.array(expand([int(x) for x in s.split(",")], pieces), np.int32).tobytes() for u, s in zip(found["unit"], found["ids"], strict=True)}
-        doc_ids, ids, same = [], [], []
-        for blob in blobs["blob"]:
-            for doc_id, text in zip(*pickle.loads(opener.decompress(blob)), strict=True):
+        tokens = _Tokens(found.column("hash").to_pylist(), found.column("cuts").to_pylist(), pieces)
+        doc_ids, values, sizes, same = [], [], [], []
+        for blob in blobs.column("blob"):
+            for doc_id, text in zip(*pickle.loads(opener.decompress(blob.as_py())), strict=True):
                 units = find(_marked(text or ""))
-                for u in units:
-                    if u not in tokens:  # longer than LONGEST_UNIT
-                        tokens[u] = np.array(encode_unit(u, pieces), np.int32).tobytes()
-                out = np.frombuffer(b"".join([tokens[u] for u in units]), np.int32)
+                out = b"".join([tokens[u] for u in units])
                 doc_ids.append(doc_id)
-                ids.append(out)
-                same.append(decode_ids(out.tolist(), pieces) == (text or "").replace(SPACE, " "))
-        return pd.DataFrame({"doc_id": pd.array(doc_ids, "Int64"), "ids": ids, "n_tokens": [len(x) for x in ids], "round_trip": same})
-
-    return _packed(rows).groupBy("block").cogroup(known.groupBy("block")).applyInPandas(run, "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
+                values.append(out)
+                sizes.append(len(out) // 4)
+                same.append(not tokens.bad or tokens.bad.isdisjoint(units))
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(values), np.int32)))
+        return pa.Table.from_arrays([pa.array(doc_ids, pa.int64()), ids, pa.array(sizes, pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_tokens", "round_trip"])
+
+    return _packed(rows).groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
 
 
 def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
