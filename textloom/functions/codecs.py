@@ -44,9 +44,9 @@ def unary_encode(n: Column) -> Column:
 
 
 def _bytes(code: Column) -> Column:
-    """The bytes as an array of ints."""
-    text = F.hex(code)
-    return F.transform(F.sequence(F.lit(1), F.length(code)), lambda i: F.conv(F.substring(text, 2 * i - 1, F.lit(2)), 16, 10).cast("int"))
+    """The bytes as an array of ints. The array of one text has it evaluated once."""
+    places = lambda text: F.transform(F.sequence(F.lit(1), F.floor(F.length(text) / 2).cast("int")), lambda i: F.conv(F.substring(text, 2 * i - 1, F.lit(2)), 16, 10).cast("int"))
+    return F.flatten(F.transform(F.array(F.hex(code)), places))
 
 
 def varbyte_decode(code: Column) -> Column:

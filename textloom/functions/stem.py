@@ -101,11 +101,11 @@ def steps(d: Dialect, word: str) -> list[str]:
 
 
 def stem_words(words: DataFrame, column: str = "term", into: str = "stem") -> DataFrame:
-    """Adds the stem of a column of lower-case words."""
-    out = words.withColumn(into, F.col(column))
-    for e in steps(SPARK, into):
-        out = out.withColumn(into, F.expr(e))
-    return out
+    """Adds the stem of a column of lower-case words. Each step binds the one before to a variable, so the expression grows with the number of steps only."""
+    value = f"`{column}`"
+    for e in steps(SPARK, "w"):
+        value = f"transform(array({value}), w -> {e})[0]"
+    return words.withColumn(into, F.expr(value))
 
 
 def stem_sql(source: str, column: str = "term", into: str = "stem") -> str:

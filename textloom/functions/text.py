@@ -50,15 +50,28 @@ def tokens(text: Column | str) -> Column:
     return F.coalesce(F.filter(F.split(normalize(text), " "), lambda t: t != ""), F.array().cast("array<string>"))
 
 
+def _once(value: Column, use) -> Column:
+    """The array ``use(value)`` makes, with ``value`` evaluated once, not at each place where ``use`` refers to it."""
+    return F.flatten(F.transform(F.array(value), use))
+
+
+def _empty() -> Column:
+    return F.array().cast("array<string>")
+
+
 def word_ngrams(words: Column | str, n: int) -> Column:
     """n neighbouring words joined by a space; none where there are fewer."""
-    words = _column(words)
-    places = F.sequence(F.lit(1), F.size(words) - n + 1)
-    return F.when(F.size(words) >= n, F.transform(places, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    def grams(w: Column) -> Column:
+        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(_empty())
+
+    return _once(_column(words), grams)
 
 
 def char_ngrams(text: Column | str, n: int) -> Column:
     """Substrings of n characters; none where there are fewer."""
-    text = _column(text)
-    places = F.sequence(F.lit(1), F.char_length(text) - n + 1)
-    return F.when(F.char_length(text) >= n, F.transform(places, lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    def grams(t: Column) -> Column:
+        return F.when(F.char_length(t) >= n, F.transform(F.sequence(F.lit(1), F.char_length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))).otherwise(_empty())
+
+    return _once(_column(text), grams)

@@ -22,7 +22,7 @@ AND_TERMS = ["en", "er", "es"]
 #: Frequent words of the tables, and their stems.
 FILTERED_QUERY, STEMS = "eaing hetion erly", ["ea", "hetion", "erli"]
 UNKNOWN = "qqqqzz"
-K, SEEK = 20, 500
+K, SEEK = 20, 100
 CONSTANTS = SimpleNamespace(TERMS=TERMS, AND_TERMS=AND_TERMS, STEMS=STEMS, UNKNOWN=UNKNOWN, K=K, SEEK=SEEK)
 QUERY = " ".join([*TERMS, UNKNOWN, TERMS[0]])
 AND_QUERY = " ".join(AND_TERMS)
