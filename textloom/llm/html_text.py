@@ -182,6 +182,12 @@ def text_of(page: str | None, covered: set[int], run: int = RUN) -> str:
         gone[k] += 1
         gone[min(k + run, len(tokens))] -= 1
     gone = np.cumsum(gone)[: len(tokens)] > 0
+    # What a repeat only reaches into, short of a run's length and of the whole block, stays with its block.
+    places = np.array(of)
+    cuts = np.flatnonzero((np.diff(places) != 0) | (np.diff(gone) != 0)) + 1 if len(tokens) else []
+    for a, b in zip([0, *cuts], [*cuts, len(tokens)], strict=True):
+        if b - a < run and gone[a:b].any() and ((a and places[a - 1] == places[a]) or (b < len(tokens) and places[b] == places[a])):
+            gone[a:b] = False
     for keep_all in (False, True):
         lines: dict[int, list[str]] = {}
         for token, k, x in zip(tokens, of, gone, strict=True):

@@ -79,6 +79,17 @@ def _tree(gradient: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return out
 
 
+def _pair_tree(gradient: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Values by cell of a tree of two levels: a cut of the first feature, and a tree of the second on either side; the cut that gains most."""
+    best, out = 0.0, np.zeros(gradient.shape)
+    for k in range(1, max(2, len(gradient))):
+        made = np.concatenate([np.tile(_tree(gradient[part].sum(0), weight[part].sum(0)), (len(gradient[part]), 1)) for part in (slice(0, k), slice(k, None)) if len(gradient[part])])
+        gain = float((made * gradient).sum() - (made**2 * weight).sum() / 2)
+        if gain > best:
+            best, out = gain, made
+    return out
+
+
 class AdditiveModel:
     """Lookup tables for features and pairs of features."""
 
@@ -120,13 +131,7 @@ class AdditiveModel:
                 cell = coarse[i] * sizes[j] + coarse[j]
                 p = 1 / (1 + np.exp(-total))
                 g, h = np.bincount(cell, y - p, len(t)).reshape(sizes[i], sizes[j]), np.bincount(cell, p * (1 - p), len(t)).reshape(sizes[i], sizes[j])
-                # A tree of two levels: the best cut of one feature, then a tree of the other on either side.
-                top = _tree(g.sum(1), h.sum(1))
-                split = int(np.argmax(np.diff(top) != 0)) + 1 if (np.diff(top) != 0).any() else sizes[i]
-                step = np.empty((sizes[i], sizes[j]))
-                for part in (slice(0, split), slice(split, None)):
-                    if g[part].size:
-                        step[part] = RATE * _tree(g[part].sum(0), h[part].sum(0))
+                step = RATE * _pair_tree(g, h)
                 t += step.ravel()
                 total += step.ravel()[cell]
         return self
