@@ -35,6 +35,8 @@ LONGEST_UNIT = 62
 #: Texts of a block, in characters: the distinct units of a block are looked up together.
 BLOCK_CHARS = 8_000_000
 _NO_MERGE = 2**31 - 1
+#: Characters of a prefix, and buckets of their hashes, for the bound on the length of substrings.
+PREFIX, _BUCKETS = 4, 1 << 16
 
 
 @dataclass
@@ -214,12 +216,25 @@ def packed_lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
     return _edges(units, pieces, "shiftleft(cast(rank as bigint), 11) + s * 32 + n", 2)
 
 
+def _bounds(pieces: list[str]) -> list[int]:
+    """For each hash bucket of a prefix, the most characters of a piece that begins with it; at least those of a piece too short to have one."""
+    out = [min(PREFIX - 1, max(map(len, pieces), default=1))] * _BUCKETS
+    for p in pieces:
+        if len(p) >= PREFIX:
+            k = xxhash.xxh64_intdigest(p[:PREFIX].encode(), 42) % _BUCKETS
+            out[k] = max(out[k], len(p))
+    return out
+
+
 def _edges(units: DataFrame, pieces: Pieces, edge: str, least: int) -> DataFrame:
     rows = [(p, i, pieces.ranks.get(p, _NO_MERGE), float(pieces.scores[p])) for p, i in pieces.ids.items() if len(p) >= least]
     # As many rows as the model has pieces, whatever the documents.
     table = F.broadcast(units.sparkSession.createDataFrame(rows, "piece string, id int, rank int, score double"))
+    # No piece that begins with a place's first characters is longer than the table of bounds says for their hash.
+    bounds = ",".join(map(str, _bounds(list(pieces.ids))))
+    reach = f"cast(split('{bounds}', ',') as array<int>)[cast(xxhash64(substring(unit, s, {PREFIX})) & {_BUCKETS - 1} as int)]"
     spans = F.expr(
-        f"""flatten(transform(sequence(1, char_length(unit) - {least - 1}), s -> transform(sequence({least}, least({pieces.longest}, char_length(unit) - s + 1)),
+        f"""flatten(transform(sequence(1, char_length(unit) - {least - 1}), s -> transform(sequence({least}, greatest({least}, least({reach}, char_length(unit) - s + 1))),
         n -> named_struct('s', s - 1, 'n', n, 'piece', substring(unit, s, n)))))"""
     )
     matched = units.filter(F.char_length("unit") >= least).select("unit", F.inline(spans)).join(table, "piece")
