@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, licences, quality_classifier, quality_rules, sentence_pieces, sharding, simhash, token_counts, warc
+from . import decontaminate, html_text, licences, oracles, quality_classifier, quality_rules, sentence_pieces, sharding, simhash, token_counts, warc
 from .common import table
 
 
@@ -60,4 +60,4 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
