@@ -3,6 +3,7 @@
 import importlib
 
 import duckdb
+import pandas as pd
 import pytest
 
 SF = "/root/testdata/sf0.001"
@@ -27,5 +28,6 @@ def test_oracle(spark, name):
     want = con.sql(entry.oracle_sql()[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
-    plain = lambda d: sorted(tuple(repr(float(x)) if isinstance(x, float) else str(x) for x in r) for r in d[columns].itertuples(index=False))
+    shown = lambda x: "null" if pd.isna(x) else repr(float(x)) if isinstance(x, (int, float)) else str(x)
+    plain = lambda d: sorted(tuple(map(shown, r)) for r in d[columns].itertuples(index=False))
     assert plain(got) == plain(want)
