@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import pickle
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,9 +32,10 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+_SPACE_BYTES = SPACE.encode()
 LONGEST_UNIT = 62
 #: Texts of a block, in characters: the distinct units of a block are looked up together.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 24_000_000
 _NO_MERGE = 2**31 - 1
 #: Characters of a prefix, and buckets of their hashes, for the bound on the length of substrings.
 PREFIX, _BUCKETS = 4, 1 << 16
@@ -269,19 +271,20 @@ class _Tokens(dict):
 
     def __missing__(self, unit: str) -> bytes:
         p, n = self.pieces, len(unit)
-        wanted = unit.replace(SPACE, " ").encode("utf-8", "surrogatepass")
-        if n > LONGEST_UNIT or not p.ordered:
-            ids = encode_unit(unit, p)
-        else:  # a unit without an edge was not folded: all its boundaries stay
-            h = xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), 42)
+        raw = unit.encode("utf-8", "surrogatepass")
+        wanted = raw.replace(_SPACE_BYTES, b" ")
+        text, ids = None, []
+        if n <= LONGEST_UNIT and p.ordered:  # a unit without an edge was not folded: all its boundaries stay
+            h = xxhash.xxh64_intdigest(raw, 42)
             have = self.cuts.get(h - (1 << 64) if h >> 63 else h, -1)
             at = [k for k in range(n + 1) if have >> k & 1]
-            ids = expand([p.ids.get(x, -1 - ord(x[0])) for x in (unit[a:b] for a, b in zip(at, at[1:], strict=False))], p) if at[-1] == n else [p.unknown]
-            if b"".join([p.texts[i] for i in ids]) != wanted:  # another unit's boundaries, should two hashes be equal
-                ids = encode_unit(unit, p)
-        if b"".join([p.texts[i] for i in ids]) != wanted:
-            self.bad.add(unit)
-        self[unit] = out = np.array(ids, np.int32).tobytes()
+            ids = expand([p.ids.get(x, -1 - ord(x[0])) for x in [unit[a:b] for a, b in zip(at, at[1:], strict=False)]], p)
+            text = b"".join([p.texts[i] for i in ids])
+        if text != wanted:  # a long unit, or another unit's boundaries, should two hashes be equal
+            ids = encode_unit(unit, p)
+            if b"".join([p.texts[i] for i in ids]) != wanted:
+                self.bad.add(unit)
+        self[unit] = out = array("i", ids).tobytes()
         return out
 
 
