@@ -274,13 +274,15 @@ class _Tokens(dict):
         raw = unit.encode("utf-8", "surrogatepass")
         wanted = raw.replace(_SPACE_BYTES, b" ")
         text, ids = None, []
-        if n <= LONGEST_UNIT and p.ordered:  # a unit without an edge was not folded: all its boundaries stay
-            h = xxhash.xxh64_intdigest(raw, 42)
-            have = self.cuts.get(h - (1 << 64) if h >> 63 else h, -1)
+        h = xxhash.xxh64_intdigest(raw, 42)
+        have = self.cuts.get(h - (1 << 64) if h >> 63 else h)
+        if have is None and not any(unit[k : k + 2] in p.ranks for k in range(n - 1)):
+            have = -1  # no two characters merge: such a unit isn't folded, all its boundaries stay
+        if n <= LONGEST_UNIT and have is not None:
             at = [k for k in range(n + 1) if have >> k & 1]
             ids = expand([p.ids.get(x, -1 - ord(x[0])) for x in [unit[a:b] for a, b in zip(at, at[1:], strict=False)]], p)
             text = b"".join([p.texts[i] for i in ids])
-        if text != wanted:  # a long unit, or another unit's boundaries, should two hashes be equal
+        if text != wanted:  # a long unit, one that another partitioning of the rows put into another block, or equal hashes of two units
             ids = encode_unit(unit, p)
             if b"".join([p.texts[i] for i in ids]) != wanted:
                 self.bad.add(unit)
