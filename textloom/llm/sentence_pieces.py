@@ -14,6 +14,7 @@ characters, whose boundaries fit no long, go the same way in Python.
 from __future__ import annotations
 
 import functools
+import operator
 import pickle
 import re
 from array import array
@@ -55,6 +56,8 @@ class Pieces:
     #: Whether the parts of every piece rank before it.
     ordered: bool = True
     unit: str = ""
+    #: Whether a unit holds the space only at its front, so that texts may be cut there first.
+    spaced: bool = True
 
 
 def _unit_pattern(pieces) -> str:
@@ -92,6 +95,7 @@ def load(path: str = MODEL) -> Pieces:
     texts[model.unk_id()] = " ⁇ ".encode()
     out = Pieces(names, order, scores, byte_ids if has_bytes else [], model.unk_id(), max(map(len, names), default=1), texts)
     out.unit = _unit_pattern(names)
+    out.spaced = not any(SPACE in p.lstrip(SPACE) for p in names)
     out.ordered = all(_ordered(p, out) for p in order)
     return out
 
@@ -161,6 +165,20 @@ def _marked(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
+_find_words = re.compile(f"{SPACE}+[^{SPACE}]*").findall
+
+
+def _words(text: str | None, spaced: bool) -> list[str]:
+    """The text cut before each run of spaces, every word without the first of its spaces: the units of SPACE + word, word by word, are the text's."""
+    if not text:
+        return []
+    if not spaced:
+        return [_marked(text)[1:]]
+    if text[0] == " " or "  " in text or SPACE in text:
+        return [w[1:] for w in _find_words(_marked(text))]
+    return text.split(" ")
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list]]:
     """Numbers the blocks of a partition; the same rows in the same order get the same numbers."""
     part, k, size = TaskContext.get().partitionId(), 0, 0
@@ -174,21 +192,25 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
             yield (part << 24) + k, batch.column("doc_id").to_pylist(), texts
 
 
-def _units(docs: DataFrame, pattern: str) -> DataFrame:
-    """(block, unit): the distinct units of each block."""
+def _units(docs: DataFrame, pieces: Pieces) -> DataFrame:
+    """(block, unit): the distinct units of each block, from its distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, now, seen = re.compile(pattern).findall, 0, set()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array([now] * len(seen), pa.int64()), pa.array(list(seen), pa.string())], ["block", "unit"])
+        find, now, words = re.compile(pieces.unit).findall, 0, set()
+
+        def out() -> pa.RecordBatch:
+            units: set[str] = set()
+            while words:
+                units.update(find(SPACE + words.pop()))
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(units), pa.int64()), pa.array(list(units), pa.string())], ["block", "unit"])
+
         for block, _, texts in _blocks(batches):
-            if block != now and seen:
+            if block != now and words:
                 yield out()
-                seen.clear()
             now = block
             for text in texts:
-                if text:
-                    seen.update(find(_marked(text)))
-        if seen:
+                words.update(_words(text, pieces.spaced))
+        if words:
             yield out()
 
     return docs.select("doc_id", "text").mapInArrow(run, "block long, unit string")
@@ -263,31 +285,54 @@ def viterbi_fold(unit: str = "unit", edges: str = "edges") -> Column:
 
 
 class _Tokens(dict):
-    """Token ids of units, as bytes of 32-bit numbers, from the folded boundaries; ``bad``: units that don't decode to themselves."""
+    """Token ids of words, as bytes of 32-bit numbers, from the folded boundaries of their units; ``bad``: words that don't decode to themselves."""
 
     def __init__(self, hashes: list[int], cuts: list[int], pieces: Pieces) -> None:
         super().__init__()
         self.cuts, self.pieces, self.bad = dict(zip(hashes, cuts, strict=True)), pieces, set()
+        self.find, self.units, self.slices = re.compile(pieces.unit).findall, {}, {}
+        self.packed = {p: array("i", [i]).tobytes() for p, i in pieces.ids.items()}
 
-    def __missing__(self, unit: str) -> bytes:
+    def __missing__(self, word: str) -> bytes:
+        units = self.find(SPACE + word)
+        if len(units) == 1:
+            out, good = self._encoded(units[0])
+        else:
+            known = self.units
+            both = [known.get(u) or known.setdefault(u, self._encoded(u)) for u in units]
+            out, good = b"".join([x for x, _ in both]), all([x for _, x in both])
+        if not good:
+            self.bad.add(word)
+        self[word] = out
+        return out
+
+    def _encoded(self, unit: str) -> tuple[bytes, bool]:
+        """The unit's ids, and whether they decode to it. Pieces that are the unit's own slices do; all others are decoded."""
         p, n = self.pieces, len(unit)
         raw = unit.encode("utf-8", "surrogatepass")
-        wanted = raw.replace(_SPACE_BYTES, b" ")
-        text, ids = None, []
         h = xxhash.xxh64_intdigest(raw, 42)
         have = self.cuts.get(h - (1 << 64) if h >> 63 else h)
         if have is None and not any(unit[k : k + 2] in p.ranks for k in range(n - 1)):
-            have = -1  # no two characters merge: such a unit isn't folded, all its boundaries stay
-        if n <= LONGEST_UNIT and have is not None:
-            at = [k for k in range(n + 1) if have >> k & 1]
-            ids = expand([p.ids.get(x, -1 - ord(x[0])) for x in [unit[a:b] for a, b in zip(at, at[1:], strict=False)]], p)
-            text = b"".join([p.texts[i] for i in ids])
-        if text != wanted:  # a long unit, one that another partitioning of the rows put into another block, or equal hashes of two units
+            have = (2 << n) - 1  # no two characters merge: such a unit isn't folded, all its boundaries stay
+        ids = None
+        if n <= LONGEST_UNIT and have is not None and have & 1 and have.bit_length() == n + 1:
+            take = self.slices.get(have) or self._slices(have)
+            try:
+                return b"".join(map(self.packed.__getitem__, take(unit))), True
+            except KeyError:  # a character that is no piece
+                at = [k for k in range(n + 1) if have >> k & 1]
+                ids = expand([p.ids.get(x, -1 - ord(x[0])) for x in (unit[a:b] for a, b in zip(at, at[1:], strict=False))], p)
+        wanted = raw.replace(_SPACE_BYTES, b" ")
+        if ids is None or b"".join([p.texts[i] for i in ids]) != wanted:
+            # A long unit, one that another partitioning of the rows put into another block, or equal hashes of two units.
             ids = encode_unit(unit, p)
-            if b"".join([p.texts[i] for i in ids]) != wanted:
-                self.bad.add(unit)
-        self[unit] = out = array("i", ids).tobytes()
-        return out
+        return array("i", ids).tobytes(), b"".join([p.texts[i] for i in ids]) == wanted
+
+    def _slices(self, have: int):
+        at = [k for k in range(have.bit_length()) if have >> k & 1]
+        parts = [slice(a, b) for a, b in zip(at, at[1:], strict=False)]
+        self.slices[have] = take = operator.itemgetter(*parts) if len(parts) > 1 else lambda unit: (unit,)
+        return take
 
 
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
@@ -298,25 +343,26 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """
     pieces = load(model)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    pairs = _units(rows, pieces.unit).repartition("unit")
+    pairs = _units(rows, pieces).repartition("unit")
     short = pairs.filter(F.char_length("unit").between(2, LONGEST_UNIT) & F.lit(pieces.ordered))
     # The least block only keeps both columns in the shuffle, so that one shuffle serves this and the join.
     units = short.groupBy("unit").agg(F.min("block").alias("block")).filter("block is not null")
     folded = packed_lattice(units, pieces).select("unit", merge_fold().alias("cuts"))
-    known = short.join(folded, "unit").select("block", F.xxhash64("unit").alias("hash"), "cuts")
+    # A hash join sorts neither side; the side that is held has one short row for each unit of a partition.
+    known = short.join(folded.hint("shuffle_hash"), "unit").select("block", F.xxhash64("unit").alias("hash"), "cuts")
 
     def run(blobs: pa.Table, found: pa.Table) -> pa.Table:
-        find, opener = re.compile(pieces.unit).findall, zstandard.ZstdDecompressor()
-        tokens = _Tokens(found.column("hash").to_pylist(), found.column("cuts").to_pylist(), pieces)
+        opener = zstandard.ZstdDecompressor()
+        tokens = _Tokens(found.column("hash").to_numpy().tolist(), found.column("cuts").to_numpy().tolist(), pieces)
         doc_ids, values, sizes, same = [], [], [], []
         for blob in blobs.column("blob"):
             for doc_id, text in zip(*pickle.loads(opener.decompress(blob.as_py())), strict=True):
-                units = find(_marked(text or ""))
-                out = b"".join([tokens[u] for u in units])
+                words = _words(text, pieces.spaced)
+                out = b"".join(map(tokens.__getitem__, words))
                 doc_ids.append(doc_id)
                 values.append(out)
                 sizes.append(len(out) // 4)
-                same.append(not tokens.bad or tokens.bad.isdisjoint(units))
+                same.append(not tokens.bad or tokens.bad.isdisjoint(words))
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(values), np.int32)))
         return pa.Table.from_arrays([pa.array(doc_ids, pa.int64()), ids, pa.array(sizes, pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_tokens", "round_trip"])
