@@ -290,24 +290,22 @@ class _Tokens(dict):
     def __init__(self, hashes: list[int], cuts: list[int], pieces: Pieces) -> None:
         super().__init__()
         self.cuts, self.pieces, self.bad = dict(zip(hashes, cuts, strict=True)), pieces, set()
-        self.find, self.units, self.slices = re.compile(pieces.unit).findall, {}, {}
+        self.find, self.units, self.slices, self.bad_units = re.compile(pieces.unit).findall, {}, {}, set()
         self.packed = {p: array("i", [i]).tobytes() for p, i in pieces.ids.items()}
 
     def __missing__(self, word: str) -> bytes:
-        units = self.find(SPACE + word)
+        units, known = self.find(SPACE + word), self.units
         if len(units) == 1:
-            out, good = self._encoded(units[0])
+            out = known.get(units[0]) or self._encoded(units[0])
         else:
-            known = self.units
-            both = [known.get(u) or known.setdefault(u, self._encoded(u)) for u in units]
-            out, good = b"".join([x for x, _ in both]), all([x for _, x in both])
-        if not good:
+            out = b"".join([known.get(u) or known.setdefault(u, self._encoded(u)) for u in units])
+        if self.bad_units and not self.bad_units.isdisjoint(units):
             self.bad.add(word)
         self[word] = out
         return out
 
-    def _encoded(self, unit: str) -> tuple[bytes, bool]:
-        """The unit's ids, and whether they decode to it. Pieces that are the unit's own slices do; all others are decoded."""
+    def _encoded(self, unit: str) -> bytes:
+        """The unit's ids. Pieces that are the unit's own slices decode to it; all others are decoded to see whether they do."""
         p, n = self.pieces, len(unit)
         raw = unit.encode("utf-8", "surrogatepass")
         h = xxhash.xxh64_intdigest(raw, 42)
@@ -318,7 +316,7 @@ class _Tokens(dict):
         if n <= LONGEST_UNIT and have is not None and have & 1 and have.bit_length() == n + 1:
             take = self.slices.get(have) or self._slices(have)
             try:
-                return b"".join(map(self.packed.__getitem__, take(unit))), True
+                return b"".join(map(self.packed.__getitem__, take(unit)))
             except KeyError:  # a character that is no piece
                 at = [k for k in range(n + 1) if have >> k & 1]
                 ids = expand([p.ids.get(x, -1 - ord(x[0])) for x in (unit[a:b] for a, b in zip(at, at[1:], strict=False))], p)
@@ -326,7 +324,9 @@ class _Tokens(dict):
         if ids is None or b"".join([p.texts[i] for i in ids]) != wanted:
             # A long unit, one that another partitioning of the rows put into another block, or equal hashes of two units.
             ids = encode_unit(unit, p)
-        return array("i", ids).tobytes(), b"".join([p.texts[i] for i in ids]) == wanted
+        if b"".join([p.texts[i] for i in ids]) != wanted:
+            self.bad_units.add(unit)
+        return array("i", ids).tobytes()
 
     def _slices(self, have: int):
         at = [k for k in range(have.bit_length()) if have >> k & 1]
@@ -348,8 +348,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     # The least block only keeps both columns in the shuffle, so that one shuffle serves this and the join.
     units = short.groupBy("unit").agg(F.min("block").alias("block")).filter("block is not null")
     folded = packed_lattice(units, pieces).select("unit", merge_fold().alias("cuts"))
-    # A hash join sorts neither side; the side that is held has one short row for each unit of a partition.
-    known = short.join(folded.hint("shuffle_hash"), "unit").select("block", F.xxhash64("unit").alias("hash"), "cuts")
+    known = short.join(folded, "unit").select("block", F.xxhash64("unit").alias("hash"), "cuts")
 
     def run(blobs: pa.Table, found: pa.Table) -> pa.Table:
         opener = zstandard.ZstdDecompressor()
