@@ -55,6 +55,18 @@ def test_pieces_of_nothing(empty):
     assert sentence_pieces.encode(empty).count() == 0
 
 
+def test_words_hold_the_units_of_the_text():
+    pieces, draw = sentence_pieces.load(), random.Random(1)
+    find, tokens = re.compile(pieces.unit).findall, sentence_pieces._Tokens([], [], pieces)
+    model = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.MODEL)
+    texts = ["", " ", "  ", " a", "a ", "a   b  c ", "▁x", "a▁b", "word,\nword  ", "x" * 80 + " y"]
+    for text in texts + ["".join(draw.choices("ab ▁ ,_²é\n1日", k=draw.randint(1, 30))) for _ in range(2000)]:
+        words = sentence_pieces._words(text, pieces.spaced)
+        assert [u for w in words for u in find("▁" + w)] == find(sentence_pieces._marked(text))
+        assert np.frombuffer(b"".join(map(tokens.__getitem__, words)), np.int32).tolist() == model.encode(text)
+    assert not tokens.bad
+
+
 def test_pieces_are_ordered():
     pieces = sentence_pieces.load()
     assert pieces.ordered
