@@ -381,6 +381,36 @@ def test_near_duplicates(spark, nasty, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_near_copies_down_to_the_similarity(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    boiler = " ".join(word() for _ in range(12))
+    texts = []
+    for n in (24, 60, 200, 900):
+        for _ in range(12):
+            base = [word() for _ in range(n)]
+            texts.append(" ".join(base))
+            for _ in range(2):
+                copy = list(base)
+                for _ in range(rng.randint(1, max(1, n // 45))):
+                    copy[rng.randrange(n)] = word()
+                texts.append(" ".join(copy) + rng.choice(["", " " + boiler]))
+    texts += ["again and again " * 30, "again and again " * 33, "again and again " * 60, boiler, "one two", "one two", "One  Two", "one"]
+    counts = [Counter(decontaminate.shingles(t.lower().split())) for t in texts]
+    label, bands = list(range(len(texts))), Counter()
+    for i in range(len(texts)):
+        for j in range(i):
+            s = decontaminate.similarity(counts[i], counts[j])
+            if s >= 0.8:
+                bands[int(s * 20)] += 1
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    assert min(bands[k] for k in (16, 17, 18)) >= 3 and len(set(label)) < len(texts) - 20
+    got = {r.doc_id: r.component_id for r in simhash.similar(documents(spark, texts)).collect()}
+    assert got == dict(enumerate(label))
+    assert {r.doc_id for r in simhash.keep_one(documents(spark, texts)).collect()} == set(label)
+
+
 def test_components(spark):
     random.seed(7)
     edges = [(random.randint(0, 300), random.randint(0, 300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1100)] + [(5, 5), (None, 3)]

@@ -5,6 +5,10 @@ most four bits, then from some segment on every chain of k consecutive segments
 ``floor(4 k / 5)`` bits: none in the first, one in the first two, two in three, three in four. The first two
 budgets make an equi-join key (the first segment, and the second with at most one bit changed); the
 longer chains prune what the join finds, before the full Hamming distance is tested.
+
+Four bits are far fewer than differ at a similarity of 0.8, and no radius that reaches it leaves segments wide enough for a
+join. ``keep_one`` therefore takes the links of the fingerprints as its first candidates, adds every pair that prefixes of their
+shingles in one order must share at that similarity, and confirms all of them by the exact weighted shingle similarity.
 """
 
 from __future__ import annotations
@@ -21,6 +25,11 @@ from .common import text_bytes, written
 from .components import connected_components
 
 RADIUS = 4
+#: Least similarity of near copies for ``keep_one``, in tenths: the sum of the smaller over that of the larger shingle counts.
+TENTHS = 8
+#: One in SAMPLE texts shows which shingles are common (RARE of them or more hold it); at most MAX_COMMON are sent to the executors.
+#: They only set the order of shingles. Any order gives the same result, and one with common shingles last fewer candidates.
+SAMPLE, RARE, MAX_COMMON = 16, 3, 500_000
 #: Low bit and width of the five segments.
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: A key held by more fingerprints than this is worked in blocks of BLOCK that return only a spanning forest.
@@ -29,20 +38,29 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: bytes | None, shingle: int = 4) -> int:
-    """Majority of the XXH64 (seed 42) bits of all word shingles, repeats included; no words: 0."""
+def _hashes(text: bytes | None, shingle: int) -> list[int]:
+    """XXH64 (seed 42) of all word shingles in order, repeats included; of the whole text where it has no more words than one."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.empty_like(ends)
-        starts[0], starts[1:] = 0, ends[:-1] + 1
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], 42) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(joined, 42)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.empty_like(ends)
+    starts[0], starts[1:] = 0, ends[:-1] + 1
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], 42) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: bytes | None, shingle: int = 4) -> int:
+    """Majority of the XXH64 (seed 42) bits of all word shingles, repeats included; no words: 0."""
+    return _majority(_hashes(text, shingle))
+
+
+def _majority(hashes: list[int]) -> int:
+    if not hashes:
+        return 0
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), _CHUNK):
         octets = np.array(hashes[k : k + _CHUNK], dtype="<u8").view(np.uint8).reshape(-1, 8)
@@ -173,7 +191,126 @@ def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
     )
 
 
+def _elements(hashes: list[int]) -> np.ndarray:
+    """Shingles as a sorted set of signed longs, in which the k-th repeat of a shingle is an element of its own."""
+    x = np.sort(np.array(hashes, np.uint64))
+    first = np.r_[True, x[1:] != x[:-1]][: len(x)]
+    place = np.arange(len(x))
+    repeat = place - np.maximum.accumulate(np.where(first, place, 0))
+    with np.errstate(over="ignore"):
+        return np.sort((x + repeat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
+
+
+def _digest(elements: np.ndarray) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(elements.tobytes(), 42))
+
+
+def _common(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Elements that RARE or more of the sampled texts hold, sorted."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for text in batch["text"]:
+                yield pd.DataFrame({"el": _elements(_hashes(text, shingle))})
+
+    sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select(text_bytes().alias("text")).distinct()
+    counts = sample.mapInPandas(run, "el long").groupBy("el").agg(F.count("*").alias("n")).filter(F.col("n") >= RARE)
+    top = counts.orderBy(F.desc("n"), "el").limit(MAX_COMMON).toPandas()
+    return np.sort(top["el"].to_numpy(np.int64))
+
+
+def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
+    """documents -> (doc_id, id, fp, n, prefix): id stands for the shingle counts, n is their sum.
+
+    The prefix holds the first ``n - ceil(0.8 n) + 1`` elements, rare ones first. Two texts of similarity 0.8 share an element of their prefixes.
+    """
+    common = _common(docs, shingle)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids, fps, sizes, prefixes = [], [], [], []
+            for text in batch["text"]:
+                hashes = _hashes(text, shingle)
+                x = _elements(hashes)
+                n = len(x)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, x), len(common) - 1)
+                    ordered = x[np.argsort(common[at] == x, kind="stable")]
+                else:
+                    ordered = x
+                ids.append(_digest(x)), fps.append(_signed(_majority(hashes))), sizes.append(n)
+                prefixes.append(ordered[: n + (-TENTHS * n) // 10 + 1])
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "id": ids, "fp": fps, "n": sizes, "prefix": prefixes})
+
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), text_bytes().alias("text"))
+    return rows.mapInPandas(run, "doc_id long, id long, fp long, n long, prefix array<long>")
+
+
+def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """The (u, v) pairs of ids whose texts have a similarity of at least 0.8."""
+    pairs = written(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct(), "pairs")
+    asked = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+    rows = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).join(classes.join(asked, "id", "left_semi").select(F.col("least").alias("doc_id"), "id"), "doc_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(k, x) for k, x in zip(batch["id"], (_elements(_hashes(t, shingle)) for t in batch["text"]), strict=True) if _digest(x) == k]
+            yield pd.DataFrame({"id": np.array([k for k, _ in found], np.int64), "els": [x.tobytes() for _, x in found]})
+
+    # A repeated doc_id may bring other texts; the digest tells them apart, and equal ones are taken once.
+    sets = written(rows.mapInPandas(run, "id long, els binary").groupBy("id").agg(F.first("els").alias("els")), "sets")
+
+    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            good = []
+            for a, b in zip(batch["a"], batch["b"], strict=True):
+                x, y = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(10 * both >= TENTHS * (len(x) + len(y) - both))
+            yield batch.loc[np.array(good, bool), ["u", "v"]]
+
+    left = pairs.join(sets.select(F.col("id").alias("u"), F.col("els").alias("a")), "u")
+    return written(left.join(sets.select(F.col("id").alias("v"), F.col("els").alias("b")), "v").select("u", "v", "a", "b").mapInPandas(test, "u long, v long"), "links")
+
+
+def similar(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """documents -> (doc_id, component_id): documents of one component can be reached from one another over pairs of similarity 0.8.
+
+    Three sets of candidates, each confirmed: fingerprints within RADIUS bits; in each prefix shingle the largest text with the others;
+    then all pairs with a common prefix shingle that aren't of one component by now. The last misses nothing, the first two keep it small.
+    """
+    marked = written(_signatures(docs, shingle), "signatures")
+    classes = written(marked.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
+    prints = classes.groupBy("fp").agg(F.min("id").alias("head"))
+    near = links(prints.select("fp")).join(prints.select(F.col("fp").alias("u"), F.col("head").alias("hu")), "u").join(prints.select(F.col("fp").alias("v"), F.col("head").alias("hv")), "v")
+    near = near.select(F.col("hu").alias("u"), F.col("hv").alias("v")).unionByName(classes.join(prints, "fp").select(F.col("id").alias("u"), F.col("head").alias("v")))
+    found = _confirmed(docs, classes, near, shingle)
+    # The smaller text of a pair shares one of its first n - ceil(8/9 n) + 1 elements, the larger one of its prefix.
+    keyed = classes.select("id", "n", F.posexplode("prefix").alias("at", "key")).withColumn("own", F.expr(f"{TENTHS + 10} * at <= {10 - TENTHS} * n"))
+    counts = keyed.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1").select("key")
+    keyed = written(keyed.join(counts, "key"), "keys")
+    for every in (False, True):
+        groups = connected_components(found).withColumnRenamed("node", "id")
+        rows = keyed.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        # A key whose texts are all of one component has no pair left.
+        open_keys = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max(F.struct("n", "id")).alias("top")).filter("a <> b").select("key", "top")
+        rows = rows.join(open_keys, "key")
+        if every:
+            x = rows.filter("own").select("key", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"), F.col("at").alias("pu"))
+            y = rows.select("key", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"), F.col("at").alias("pv"))
+            # The first shared key of a pair leaves room for the overlap that the similarity needs.
+            room = F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv")) * (TENTHS + 10) >= TENTHS * (F.col("nu") + F.col("nv"))
+            size = ((F.col("nu") < F.col("nv")) | ((F.col("nu") == F.col("nv")) & (F.col("u") != F.col("v")))) & (10 * F.col("nu") >= TENTHS * F.col("nv"))
+            pairs = x.join(y, "key").filter((F.col("cu") != F.col("cv")) & size & room)
+        else:
+            pairs = rows.filter(f"id <> top.id and 10 * n >= {TENTHS} * top.n").select(F.col("id").alias("u"), F.col("top.id").alias("v"))
+        found = found.unionByName(_confirmed(docs, classes, pairs.select("u", "v"), shingle))
+    labelled = classes.select("id", "least").join(connected_components(found).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    return marked.select("doc_id", "id").join(labelled.join(least, "component").select("id", "component_id"), "id").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """Keeps the document with the least doc_id of each component, with all columns; rows without doc_id stay."""
-    found = near_duplicates(docs, shingle).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    """Keeps the document with the least doc_id of each component of similar texts, with all columns; rows without doc_id stay."""
+    found = similar(docs, shingle).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(found, F.col("doc_id") == F.col("_gone"), "left_anti")
