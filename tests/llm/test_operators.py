@@ -274,6 +274,16 @@ def test_html_structure():
     assert html_text.text_of("plain &lt;text&gt;", set()) == "plain <text>"
 
 
+def test_html_wrappers():
+    text = "<p>The text of the page</p>"
+    for page in (
+        f"<div class='site has-sidebar'><article>{text}</article></div>", f"<article class='post has-comments'>{text}</article>", f"<div class='widget'><main>{text}</main></div>",
+        f"<div id='search'><article class='form'>{text}</article></div>", f"<div class='has-sidebar'>{text}</div>", f"<article><div class='share-price'>{text}</div></article>",
+        f"<article>{text}</article><div class='comments'><article>bad</article></div>", f"<div class='modal'><div role='main'>{text}</div></div>",
+    ):
+        assert html_text.text_of(page, set()) == "The text of the page", page
+
+
 def test_html_runs(spark):
     chrome = "we use small files to make this site work for all of you"
     body = [f"page {k} has words of its own like {'abcdefgh'[k % 8] * 3} and number {k * 7}" for k in range(6)]

@@ -39,7 +39,7 @@ _BLOCK = {
 }
 #: An opening tag ends an open one of these, up to the element that holds them.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Words of a class, id or role that mark what isn't main text.
+#: Classes, ids and roles, whole, that mark what isn't main text. Those of a layout (has-sidebar) or of a longer name (share-price) don't.
 _MARKS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr",
     "notice", "notices", "notification", "alert", "sidebar", "menu", "menubar", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "masthead", "comment", "comments",
@@ -47,17 +47,16 @@ _MARKS = {
     "overlay", "widget", "pagination", "pager", "toolbar", "copyright", "disclaimer", "contentinfo", "complementary", "form",
 }
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _OWN = {"article", "main"}
 
 
 def _marks(attrs: str) -> tuple[set[str], bool]:
-    """Words of class, id and role in lower case; whether the role is main."""
+    """Class, id and role tokens in lower case; whether the role is main."""
     words: set[str] = set()
     main = False
     for m in _ATTR.finditer(attrs):
         value = m[2] or m[3] or m[4] or ""
-        words.update(w.lower() for w in _WORD.findall(value))
+        words.update(value.lower().split())
         main |= m[1].lower() == "role" and value.strip().lower() == "main"
     return words, main
 
@@ -65,13 +64,32 @@ def _marks(attrs: str) -> tuple[set[str], bool]:
 def parse(page: str | None) -> tuple[list[tuple[str, bool, bool]], bool]:
     """Blocks (text, own, chrome) in page order, and whether the page has an article or main element.
 
+    Marks don't count on an element that is or holds a main element, nor on one that is or holds an article where the page has no other.
+
     own: inside such an element and no boilerplate element; chrome: inside a boilerplate element. Character references are decoded, white space
     is one space. Unclosed and stray tags are borne; an unclosed comment, script or style runs to the end of the page.
     """
     page = page or ""
+    blocks, found, marked, mains, articles = _walk(page, frozenset())
+    free = marked & mains
+    if free:
+        blocks, found, *_ = _walk(page, free)
+    if not found and marked & articles:
+        blocks, found, *_ = _walk(page, free | marked & articles)
+    return blocks, found
+
+
+def _walk(page: str, free: frozenset[int] | set[int]) -> tuple[list[tuple[str, bool, bool]], bool, set[int], set[int], set[int]]:
+    """Blocks; whether there is an own element; where the tags of marked elements, and of those that are or hold a main or an article, begin.
+
+    Elements of ``free`` aren't marked.
+    """
+    marked: set[int] = set()
+    mains: set[int] = set()
+    articles: set[int] = set()
     blocks: list[tuple[str, bool, bool]] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, own, chrome
+    stack: list[tuple[str, bool, bool, int]] = []  # element, own, chrome, place of its tag
     own = chrome = found = False
 
     def close_block() -> None:
@@ -134,14 +152,17 @@ def parse(page: str | None) -> tuple[list[tuple[str, bool, bool]], bool]:
         out = chrome
         if name in _DROP or (name == "header" or "header" in words) and not own:
             out = True
-        elif name not in ("html", "body", "main") and words & _MARKS:
+        elif name not in ("html", "body", "main") and words & _MARKS and m.start() not in free:
+            marked.add(m.start())
             out = True
         inside = own or name in _OWN or main
         found |= inside and not out
-        stack.append((name, inside, out))
+        stack.append((name, inside, out, m.start()))
+        if main or name in _OWN:
+            (mains if main or name == "main" else articles).update(x[3] for x in stack)
         own, chrome = inside, out
     close_block()
-    return blocks, found
+    return blocks, found, marked, mains, articles
 
 
 def host_of(url: str | None) -> str:
