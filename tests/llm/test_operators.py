@@ -298,6 +298,19 @@ def test_html_runs(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_runs_in_and_beside_articles(spark):
+    rng = random.Random(15)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    plea, chrome, text = words(12), words(14), [words(30) for _ in range(6)]
+    rows = [(k, f"<div>{chrome}</div><article><p>{text[k]}</p><div class='x1'>{plea}</div></article>") for k in range(4)]
+    rows += [(4, f"<article><p>{text[0]}</p><p>{words(3)}</p></article>"), (5, f"<article></article><div>{chrome}</div><p>{text[4]}</p>"), (6, f"<main><p>see below</p></main><div>{chrome}</div><p>{text[5]}</p>")]
+    rows += [(7, rows[3][1])]
+    out = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame([(k, "http://h/", p) for k, p in rows], "page_id long, url string, html string")).collect()}
+    assert [out[k] for k in (1, 2, 3)] == text[1:4] and out[7] == text[3]
+    assert out[0].startswith(text[0]) and out[4].startswith(text[0])
+    assert out[5] == text[4] and out[6] == "see below\n" + text[5]
+
+
 # 9
 def test_edits(spark, nasty, empty):
     encode = token_counts.encoder().encode_ordinary

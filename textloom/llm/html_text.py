@@ -1,11 +1,12 @@
 """Main text of web pages: page structure, and runs that a host's pages repeat.
 
-Every page becomes a stream of tokens. Text inside an article (or main) element is the page's own and is kept,
-even where another page mirrors it. The rest of the stream goes into a host-wide suffix array cut at RUN tokens:
-suffixes are dealt out by host and their first RUN tokens, so equal prefixes meet without any host being gathered
+Every page becomes two streams of tokens: text inside an article (or main) element, which is the page's own, and the rest.
+Each goes into a host-wide suffix array cut at RUN tokens, own text beside own text and the rest beside the rest: suffixes are dealt out by host and their first RUN tokens, so equal prefixes meet without any host being gathered
 in one place, and a prefix seen on two unlike pages marks a repeated substring; longer repeats are unions of such
 prefixes. Tokens covered by repeats are boilerplate and are removed; the unique runs that remain are kept, unless
 the elements they stand in are menus, headers, footers, sidebars, notices, adverts, forms or reader comments.
+Pages with equal streams count as one, so a mirrored article keeps its text. Own text loses only whole blocks, and
+none where repeats cover most of it, which is a near copy. Where the own text is small, unique text outside it is kept too.
 """
 
 from __future__ import annotations
@@ -170,16 +171,20 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _stream(blocks: list[tuple[str, bool, bool]]) -> tuple[list[str], list[int]]:
-    """Tokens that aren't the page's own, and the block of each."""
-    tokens: list[str] = []
-    of: list[int] = []
+def _streams(blocks: list[tuple[str, bool, bool]]) -> tuple[tuple[list[str], list[int]], tuple[list[str], list[int]]]:
+    """Tokens and the block of each: of the page's own blocks, and of the rest."""
+    parts: tuple[tuple[list[str], list[int]], tuple[list[str], list[int]]] = (([], []), ([], []))
     for k, (text, own, _) in enumerate(blocks):
-        if not own:
-            words = text.split(" ")
-            tokens += words
-            of += [k] * len(words)
-    return tokens, of
+        tokens, of = parts[not own]
+        words = text.split(" ")
+        tokens += words
+        of += [k] * len(words)
+    return parts
+
+
+def _few(own: int, rest: int) -> bool:
+    """Whether so many own tokens are few beside those of the rest."""
+    return own < RUN or 4 * own < rest
 
 
 def _prefixes(tokens: list[str], run: int) -> tuple[np.ndarray, int]:
@@ -189,65 +194,90 @@ def _prefixes(tokens: list[str], run: int) -> tuple[np.ndarray, int]:
     return np.array([digest(" ".join(tokens[k : k + run])) for k in range(len(tokens) - run + 1)], np.int64), whole
 
 
-def text_of(page: str | None, covered: set[int], run: int = RUN) -> str:
-    """Own blocks, or for a page without article and main what no repeated run covers; ``covered``: first tokens of repeated runs.
+def _covered(n: int, starts: set[int], run: int) -> np.ndarray:
+    gone = np.zeros(n + 1, np.int64)
+    for k in starts:
+        gone[k] += 1
+        gone[min(k + run, n)] -= 1
+    return np.cumsum(gone)[:n] > 0
+
+
+def _lines(tokens: list[str], of: list[int], kept: np.ndarray) -> dict[int, str]:
+    lines: dict[int, list[str]] = {}
+    for token, k, x in zip(tokens, of, kept, strict=True):
+        if x:
+            lines.setdefault(k, []).append(token)
+    return {k: " ".join(words) for k, words in lines.items()}
+
 
-    Where nothing unique is left of such a page, its text is kept as it was.
+def text_of(page: str | None, covered: set[int], run: int = RUN, covered_own: set[int] | frozenset[int] = frozenset()) -> str:
+    """Own blocks but for whole repeated ones; where these are few, also what no repeated run covers of the rest.
+
+    ``covered`` and ``covered_own``: first tokens of repeated runs in the rest and in the own text. Where nothing is left of a page
+    by this, its text is kept as it was.
     """
     blocks, found = parse(page)
+    (own, own_of), (tokens, of) = _streams(blocks)
+    kept: dict[int, str] = {}
     if found:
-        return "\n".join(text for text, own, _ in blocks if own)
-    tokens, of = _stream(blocks)
-    gone = np.zeros(len(tokens) + 1, np.int64)
-    for k in covered:
-        gone[k] += 1
-        gone[min(k + run, len(tokens))] -= 1
-    gone = np.cumsum(gone)[: len(tokens)] > 0
-    # What a repeat only reaches into, short of a run's length and of the whole block, stays with its block.
-    places = np.array(of)
-    cuts = np.flatnonzero((np.diff(places) != 0) | (np.diff(gone) != 0)) + 1 if len(tokens) else []
-    for a, b in zip([0, *cuts], [*cuts, len(tokens)], strict=True):
-        if b - a < run and gone[a:b].any() and ((a and places[a - 1] == places[a]) or (b < len(tokens) and places[b] == places[a])):
-            gone[a:b] = False
-    for keep_all in (False, True):
-        lines: dict[int, list[str]] = {}
-        for token, k, x in zip(tokens, of, gone, strict=True):
-            if not blocks[k][2] and (keep_all or not x):
-                lines.setdefault(k, []).append(token)
-        if lines:
-            break
-    return "\n".join(" ".join(words) for words in lines.values())
+        gone = _covered(len(own), covered_own, run)
+        places = np.array(own_of, np.int64)
+        # Own text of which repeats cover most is a copy of another article.
+        if 2 * gone.sum() > len(own):
+            gone[:] = False
+        whole = set(own_of) - set(places[~gone].tolist())
+        kept = {k: blocks[k][0] for k in dict.fromkeys(own_of) if k not in whole}
+    shown = ~np.array([blocks[k][2] for k in of], bool)
+    if not found or _few(len(own), int(shown.sum())):
+        gone = _covered(len(tokens), covered, run)
+        # What a repeat only reaches into, short of a run's length and of the whole block, stays with its block.
+        places = np.array(of)
+        cuts = np.flatnonzero((np.diff(places) != 0) | (np.diff(gone) != 0)) + 1 if len(tokens) else []
+        for a, b in zip([0, *cuts], [*cuts, len(tokens)], strict=True):
+            if b - a < run and gone[a:b].any() and ((a and places[a - 1] == places[a]) or (b < len(tokens) and places[b] == places[a])):
+                gone[a:b] = False
+        unique = shown & ~gone
+        if not found or _few(len(own), int(unique.sum())):
+            kept |= _lines(tokens, of, unique)
+        if not kept:
+            kept = _lines(tokens, of, shown)
+    return "\n".join(kept[k] for k in sorted(kept))
 
 
 def repeated_runs(pages: DataFrame, run: int = RUN) -> DataFrame:
-    """pages -> (page_id, stream, covered): for pages without article and main, where repeated runs begin in their stream."""
+    """pages -> (page_id, stream, covered): where repeated runs begin in a stream of a page.
+
+    The rest of a page is a source of repeats always, and asked for only where ``text_of`` reads it.
+    """
 
     def suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, hosts, hashes, places, streams, opens = [], [], [], [], [], []
             for page_id, url, page in zip(batch["page_id"], batch["url"], batch["html"], strict=True):
                 blocks, found = parse(page)
-                tokens, _ = _stream(blocks)
-                prefix, whole = _prefixes(tokens, run)
-                n = len(prefix)
+                own, rest = _streams(blocks)
+                few = not found or _few(len(own[0]), sum(not blocks[k][2] for k in rest[1]))
                 host = host_of(url)
-                ids += [page_id] * n
-                hosts += [host] * n
-                hashes.append(prefix)
-                places.append(np.arange(n))
-                streams += [whole] * n
-                opens += [not found] * n
+                for name, (tokens, _), wanted in (("own " + host, own, True), (host, rest, few)):
+                    prefix, whole = _prefixes(tokens, run)
+                    n = len(prefix)
+                    ids += [page_id] * n
+                    hosts += [name] * n
+                    hashes.append(prefix)
+                    places.append(np.arange(n))
+                    streams += [whole] * n
+                    opens += [wanted] * n
             if ids:
                 yield pd.DataFrame({"page_id": pd.array(ids, "Int64"), "host": hosts, "prefix": np.concatenate(hashes), "place": np.concatenate(places), "stream": streams, "open": opens})
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInPandas(
         suffixes, "page_id long, host string, prefix long, place long, stream long, open boolean"
     )
-    suffix = rows.select("page_id", F.xxhash64("host", "prefix").alias("bucket"), "place", "stream", "open")
-    # Copies of one page have one stream and count as one page. Ends of the range of streams show whether there are two.
+    suffix = rows.select("page_id", F.xxhash64("host", "prefix").alias("bucket"), F.substring("host", 1, 4).eqNullSafe("own ").alias("own"), "place", "stream", "open")
+    # Copies of one stream count as one page. Ends of the range of streams show whether there are two.
     shared = suffix.groupBy("bucket").agg(F.min("stream").alias("a"), F.max("stream").alias("b"), F.max("open").alias("any")).filter("a <> b and any").select("bucket")
     hits = suffix.filter("open and page_id is not null").join(shared, "bucket")
-    return hits.groupBy("page_id", "stream").agg(F.collect_set("place").alias("covered"))
+    return hits.groupBy("page_id", "own", "stream").agg(F.collect_set("place").alias("covered"))
 
 
 def extract(pages: DataFrame, run: int = RUN) -> DataFrame:
@@ -256,8 +286,8 @@ def extract(pages: DataFrame, run: int = RUN) -> DataFrame:
     A null html counts as empty and gives an empty text. Rows without page_id, and pages whose host is unknown (these share a
     host named ''), are extracted like others, the former by their structure alone.
     """
-    covered = repeated_runs(pages, run).select(F.col("page_id").alias("c_id"), "stream", "covered")
-    by_page = covered.groupBy("c_id").agg(F.collect_list(F.struct("stream", "covered")).alias("runs"))
+    covered = repeated_runs(pages, run).select(F.col("page_id").alias("c_id"), "own", "stream", "covered")
+    by_page = covered.groupBy("c_id").agg(F.collect_list(F.struct("own", "stream", "covered")).alias("runs"))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     joined = rows.join(by_page, rows["page_id"] == by_page["c_id"], "left").drop("c_id")
 
@@ -265,11 +295,13 @@ def extract(pages: DataFrame, run: int = RUN) -> DataFrame:
         for batch in batches:
             texts = []
             for page, runs in zip(batch["html"], batch["runs"], strict=True):
-                places: set[int] = set()
+                own: set[int] = set()
+                rest: set[int] = set()
                 if runs is not None and len(runs):
-                    whole = _prefixes(_stream(parse(page)[0])[0], run)[1]
-                    places = {int(k) for r in runs if r["stream"] == whole for k in r["covered"]}
-                texts.append(text_of(page, places, run))
+                    a, b = (_prefixes(tokens, run)[1] for tokens, _ in _streams(parse(page)[0]))
+                    own = {int(k) for r in runs if r["own"] and r["stream"] == a for k in r["covered"]}
+                    rest = {int(k) for r in runs if not r["own"] and r["stream"] == b for k in r["covered"]}
+                texts.append(text_of(page, rest, run, own))
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     return joined.mapInPandas(run_all, "page_id long, url string, text string, n_chars long")
