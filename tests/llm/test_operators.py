@@ -227,6 +227,15 @@ def test_licences(spark, nasty, empty):
     assert licences.scan(documents(spark, texts[:1] * 3, [1, 1, None])).count() == 3
 
 
+def test_no_template_is_left_out(spark):
+    templates = [(f, t) for f, ts in licences.TEMPLATES.items() for t in ts]
+    assert licences.paragraphs(documents(spark, [t for _, t in templates])).count() == len(templates)
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+    texts = [isc, "a\n \n\n" + isc.replace(" ", "\n"), "Permission is hereby granted, free of charge, to any\r\nperson obtaining a copy of this software and\r\nassociated documentation files", "\n\nx y\n\n" + isc]
+    got = sorted((r.doc_id, r.paragraph, r.family) for r in licences.scan(documents(spark, texts)).collect())
+    assert got == [(0, 0, "isc"), (1, 3, "isc"), (2, 0, "mit"), (3, 4, "isc")]
+
+
 def test_licence_scores_match_numpy(spark):
     classes, weights, intercepts, temperature = licences.train()
     line = "This file is released under the MIT License"

@@ -11,14 +11,12 @@ from __future__ import annotations
 import functools
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
 #: Least calibrated probability of a family, and least share of a template's word triples that the paragraph must hold.
 MIN_PROBABILITY, MIN_TEMPLATE = 0.5, 0.5
-#: A paragraph without any of these is unknown, whatever its n-grams.
-ANCHOR = r"(?i)licen[sc]e|copyright|permission is|redistribut|creative commons|public domain|spdx|rights reserved|\bcc[ -](by|zero)|\bcc0"
 SCALE = 10_000
 SEED, VARIANTS, NEGATIVES, STEPS = 7, 24, 700, 300
 TEMPLATES = {
@@ -70,6 +68,21 @@ def _triples(words: list[str]) -> list[str]:
     return sorted({" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}) if words else []
 
 
+@functools.cache
+def anchors() -> tuple[str, ...]:
+    """Words of which every paragraph that can be confirmed holds one.
+
+    They are taken from the templates until in each the word triples without any of them are fewer than a confirmation needs. The commonest
+    words come last, then those in more triples come first; the order only decides how many paragraphs are scored.
+    """
+    held = [[set(t.split()) for t in _triples(_tokens(x))] for family in TEMPLATES.values() for x in family]
+    chosen: list[str] = []
+    while open_ := [rest for t in held if len(rest := [g for g in t if not g & set(chosen)]) >= MIN_TEMPLATE * len(t)]:
+        gain = {w: sum(w in g for rest in open_ for g in rest) for rest in open_ for g in rest for w in g}
+        chosen.append(min(gain, key=lambda w: (w in _COMMON[:100] or w.isdigit(), w in ("under", "without"), w in _COMMON and not w.startswith("licens"), -gain[w], w)))
+    return tuple(chosen)
+
+
 @functools.cache
 def train() -> tuple[tuple[str, ...], dict[str, tuple[int, ...]], tuple[int, ...], float]:
     """(classes, weights by n-gram, intercepts, temperature); the same on every call."""
@@ -111,14 +124,34 @@ def _array(values) -> Column:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """documents -> (doc_id, paragraph, words) for the lines that hold an anchor."""
-    lines = docs.filter(F.col("text").rlike(ANCHOR)).select(F.col("doc_id").cast("long"), F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    return lines.filter(F.col("line").rlike(ANCHOR)).select("doc_id", "paragraph", F.regexp_extract_all(F.lower("line"), F.lit("[a-z0-9]+"), F.lit(0)).alias("words"))
+    """documents -> (doc_id, block, wide, paragraph, words): lines that hold an anchor, and the blocks of non-blank lines that such a line stands in.
+
+    paragraph is the line's number, or that of the block's first line; wide marks blocks, of which those of one line are left out.
+    """
+    anchor = F.lit(rf"(?i)(?<![a-z0-9])(?:{'|'.join(anchors())})(?![a-z0-9])")
+    hit = lambda x: F.rlike(x, anchor)
+    newlines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    # A blank line ends a piece and isn't part of it.
+    pieces = docs.filter(hit(F.col("text"))).select(F.col("doc_id").cast("long"), F.split("text", r"(?:^|(?<=\n))[ \t\r\f\x0B]*\n").alias("pieces"))
+    numbered = F.filter(F.transform("pieces", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: hit(s["x"]))
+    start = lambda s: F.aggregate(F.slice("pieces", 1, s["i"]), F.lit(0), lambda acc, x: acc + newlines(x) + 1)
+    blocks = pieces.select("doc_id", F.explode(F.transform(numbered, lambda s: F.struct(start(s).alias("start"), F.rtrim(s["x"], F.lit(" \t\r\n\f")).alias("x")))).alias("b"))
+    # Identifies a block between here and the end of the scan; it isn't evaluated twice.
+    blocks = blocks.select("doc_id", F.monotonically_increasing_id().alias("block"), "b.start", "b.x")
+    lines = F.filter(
+        F.transform(F.split("x", "\n"), lambda x, i: F.struct(F.lit(False).alias("wide"), (F.col("start") + i).alias("paragraph"), x.alias("line"))), lambda s: hit(s["line"])
+    )
+    whole = F.filter(F.array(F.struct(F.lit(True).alias("wide"), F.col("start").alias("paragraph"), F.col("x").alias("line"))), lambda s: F.contains(s["line"], F.lit("\n")))
+    rows = blocks.select("doc_id", "block", F.explode(F.concat(lines, whole)).alias("p"))
+    return rows.select("doc_id", "block", "p.wide", "p.paragraph", F.regexp_extract_all(F.lower("p.line"), F.lit("[a-z0-9]+"), F.lit(0)).alias("words"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """documents -> (doc_id, paragraph, family, probability, template_share): one row for each line (from 0) that is a confirmed licence notice.
 
+    A notice wrapped over lines is one row, with the first line of its block of non-blank lines: a block counts if it's confirmed
+    for a family that none of its lines is confirmed for.
+
     Null and empty texts have no lines. Every row is scanned, repeated rows and rows without doc_id too. Lines of any length are taken whole.
     """
     spark = docs.sparkSession
@@ -141,9 +174,9 @@ def scan(docs: DataFrame) -> DataFrame:
         for family in classes[:-1]
     ]
     compared = found.withColumn("triples", triples).withColumn("shares", F.array(*shares))
-    joined = compared.select("uid", "doc_id", "paragraph", "shares", F.explode(grams).alias("gram")).join(table, "gram")
+    joined = compared.select("uid", "doc_id", "block", "wide", "paragraph", "shares", F.explode(grams).alias("gram")).join(table, "gram")
     logits = joined.groupBy("uid").agg(
-        F.first("doc_id").alias("doc_id"), F.first("paragraph").alias("paragraph"), F.first("shares").alias("shares"),
+        F.first("doc_id").alias("doc_id"), F.first("block").alias("block"), F.first("wide").alias("wide"), F.first("paragraph").alias("paragraph"), F.first("shares").alias("shares"),
         F.array(*[((F.sum(F.element_at("w", k + 1)) + F.lit(b)) / (SCALE * temperature)) for k, b in enumerate(intercepts)]).alias("z"),
     )
     top = F.array_max("z")
@@ -151,6 +184,8 @@ def scan(docs: DataFrame) -> DataFrame:
         "probability", 1 / F.aggregate("z", F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
     )
     named = scored.filter(F.col("best") <= len(classes) - 1).withColumn("pick", F.element_at("shares", F.col("best")))
-    return named.filter((F.col("probability") >= MIN_PROBABILITY) & (F.col("pick.share") >= MIN_TEMPLATE)).select(
+    sure = named.filter((F.col("probability") >= MIN_PROBABILITY) & (F.col("pick.share") >= MIN_TEMPLATE))
+    in_line = F.min("wide").over(Window.partitionBy("block", "pick.family"))
+    return sure.withColumn("least", in_line).filter("wide = least").select(
         "doc_id", "paragraph", F.col("pick.family").alias("family"), F.round("probability", 6).alias("probability"), F.round("pick.share", 6).alias("template_share")
     )
