@@ -198,3 +198,9 @@ def test_filtered(spark):
 def test_empty_collection(spark):
     index = ix.build_index(docs(spark, []))
     assert index.stats.num_docs == 0 and se.search(index, "red").count() == 0
+
+
+def test_default_stopwords_are_the_full_list(spark):
+    words = {r.word for r in readers.load_stopwords(spark).collect()}
+    assert len(words) == len(readers.STOPWORDS) == 636
+    assert {"able", "according", "won", "zero", "j", "whereupon", "the"} <= words and not {"keep", "keeps", "sure", "t", ""} & words

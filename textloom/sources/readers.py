@@ -10,12 +10,37 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The default list. Longer lists are files with one word a line, read by ``load_stopwords``.
+#: The default list: the 636 lines of the reference's list (666, docs/stopwords_eng.txt) that hold nothing but letters. Tokens hold letters only,
+#: so its empty line, those with an apostrophe or hyphen, and the two with a tab in them (keep, keeps; sure, t) never match one.
+#: Other lists are files with one word a line, read by ``load_stopwords``.
 STOPWORDS = tuple(
-    """a about above after again all also am an and any are as at be because been before being below between both but by can could did do does doing down
-    during each few for from further had has have having he her here hers him his how i if in into is it its just me more most my no nor not now of off on once
-    only or other our out over own same she should so some such than that the their them then there these they this those through to too under until up very was we
-    were what when where which while who whom why will with would you your""".split()
+    """a able about above abst accordance according accordingly across act actually added adj affected affecting affects after afterwards again against ah
+    all almost alone along already also although always am among amongst an and announce another any anybody anyhow anymore anyone anything anyway anyways
+    anywhere apparently approximately are aren arent arise around as aside ask asking at auth available away awfully b back be became because become
+    becomes becoming been before beforehand begin beginning beginnings begins behind being believe below beside besides between beyond biol both brief
+    briefly but by c ca came can cannot cause causes certain certainly co com come comes contain containing contains could couldnt d date did different do
+    does doing done down downwards due during e each ed edu effect eg eight eighty either else elsewhere end ending enough especially et etc even ever
+    every everybody everyone everything everywhere ex except f far few ff fifth first five fix followed following follows for former formerly forth found
+    four from further furthermore g gave get gets getting give given gives giving go goes gone got gotten h had happens hardly has have having he hed
+    hence her here hereafter hereby herein heres hereupon hers herself hes hi hid him himself his hither home how howbeit however hundred i id ie if im
+    immediate immediately importance important in inc indeed index information instead into invention inward is it itd its itself j just k kept kg km know
+    known knows l largely last lately later latter latterly least less lest let lets like liked likely line little look looking looks ltd m made mainly
+    make makes many may maybe me mean means meantime meanwhile merely mg might million miss ml more moreover most mostly mr mrs much mug must my myself n
+    na name namely nay nd near nearly necessarily necessary need needs neither never nevertheless new next nine ninety no nobody non none nonetheless
+    noone nor normally nos not noted nothing now nowhere o obtain obtained obviously of off often oh ok okay old omitted on once one ones only onto or ord
+    other others otherwise ought our ours ourselves out outside over overall owing own p page pages part particular particularly past per perhaps placed
+    please plus poorly possible possibly potentially pp predominantly present previously primarily probably promptly proud provides put q que quickly
+    quite qv r ran rather rd re readily really recent recently ref refs regarding regardless regards related relatively research respectively resulted
+    resulting results right run s said same saw say saying says sec section see seeing seem seemed seeming seems seen self selves sent seven several shall
+    she shed shes should show showed shown showns shows significant significantly similar similarly since six slightly so some somebody somehow someone
+    somethan something sometime sometimes somewhat somewhere soon sorry specifically specified specify specifying still stop strongly sub substantially
+    successfully such sufficiently suggest sup take taken taking tell tends th than thank thanks thanx that thats the their theirs them themselves then
+    thence there thereafter thereby thered therefore therein thereof therere theres thereto thereupon these they theyd theyre think this those thou though
+    thoughh thousand throug through throughout thru thus til tip to together too took toward towards tried tries truly try trying ts twice two u un under
+    unfortunately unless unlike unlikely until unto up upon ups us use used useful usefully usefulness uses using usually v value various very via viz vol
+    vols vs w want wants was wasnt way we wed welcome went were werent what whatever whats when whence whenever where whereafter whereas whereby wherein
+    wheres whereupon wherever whether which while whim whither who whod whoever whole whom whomever whos whose why widely willing wish with within without
+    wont words world would wouldnt www x y yes yet you youd your youre yours yourself yourselves z zero""".split()
 )
 
 
