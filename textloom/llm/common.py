@@ -47,6 +47,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have, whatever the case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose doc_id isn't among those of ``gone`` (doc_id), with all columns as they were; rows without doc_id stay."""
+    key = unused(docs, "_gone")
+    return docs.join(gone.select(F.col("doc_id").alias(key)), F.col("doc_id") == F.col(key), "left_anti")
+
+
 def text_bytes(col: str = "text"):
     """The column as UTF-8 bytes, which Python receives without a decode."""
     return F.col(col).cast("binary")

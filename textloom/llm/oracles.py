@@ -12,9 +12,14 @@ _LOW = "case when {b} < 64 then {b} else (({b} - 32 * ({b} // 32 - 1)) << ({b} /
 def quality_rules() -> str:
     rate = lambda c: f"(case when n_words > 0 then 1000 * {c} // n_words else 0 end)"
     stacked = " union all ".join(f"select lang, source, '{k}' as feature, {rate(c)} as v from passed" for k, c in _RATES.items())
-    slack = " ".join(f"when '{k}' then {v}" for k, v in q.SLACK.items())
-    wide = ", ".join(f"max(case when feature = '{k}' then q3 + reach end) as hi_{k}" for k in _RATES)
-    inside = " and ".join(f"coalesce({rate(c)} <= hi_{k}, true)" for k, c in _RATES.items())
+    stacked += " union all select lang, source, 'n_words' as feature, n_words as v from passed"
+    at = lambda d, k: f"max(case when feature = '{k}' then d{d} end)"
+    event = lambda k: f"1000 * {q.EVENT[k]} // {at(5, 'n_words')}"
+    wide = ", ".join(f"{at(9, k)} + {q.FENCE} * greatest({at(9, k)} - {at(5, k)}, {event(k)}) as hi_{k}" for k in _RATES)
+    low = f"{at(1, 'word_length')} - {q.FENCE} * greatest({at(5, 'word_length')} - {at(1, 'word_length')}, {event('word_length')})"
+    ratio = f"least(cast({at(1, 'n_words')} as double) / {at(5, 'n_words')}, 0.96875)"
+    low_words = f"{at(1, 'n_words')} * {' * '.join([ratio] * q.FENCE)}"
+    inside = "coalesce(n_words >= lo_n_words, true) and " + " and ".join(f"coalesce({rate(c)} <= hi_{k}, true)" for k, c in _RATES.items())
     return rf"""with d as (select row_number() over () as r, doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
 w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words from d),
 lines as (select r, unnest(string_split(text, chr(10))) as line from d),
@@ -28,15 +33,16 @@ f as (select r, doc_id, lang, source, cast(len(words) as bigint) as n_words, cas
 b as (select *, n_words < {q.MIN_WORDS} or 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words as base_failed from f),
 passed as (select * from b where not base_failed),
 cells as (select lang, source, feature, {_BIN} as bin, count(*) as n from ({stacked}) group by all),
-sizes as (select lang, source, sum(n) as docs from cells where feature = 'word_length' group by all),
+sizes as (select lang, source, sum(n) as docs from cells where feature = 'n_words' group by all),
 levels as (select *, case when docs >= {q.MIN_GROUP} then 2 when sum(docs) over (partition by lang) >= {q.MIN_GROUP} then 1 else 0 end as level from sizes),
 keyed as (select lang, source, level, case when level >= 1 then lang else '' end as gl, case when level = 2 then source else '' end as gs from levels),
 merged as (select level, case when level >= 1 then lang else '' end as gl, case when level = 2 then source else '' end as gs, feature, bin, sum(n) as n
   from cells, range(3) t(level) group by all),
 ranked as (select *, sum(n) over (partition by level, gl, gs, feature order by bin) as upto, sum(n) over (partition by level, gl, gs, feature) as total from merged),
-quart as (select level, gl, gs, feature, min(case when 4 * upto >= total then bin end) as b1, min(case when 4 * upto >= 3 * total then bin end) as b3 from ranked group by all),
-bounds as (select *, {_LOW.format(b='b1')} as q1, {_LOW.format(b='b3')} as q3, greatest({q.FENCE} * (({_LOW.format(b='b3')}) - ({_LOW.format(b='b1')})), case feature {slack} end) as reach from quart),
-wide as (select level, gl, gs, {wide}, max(case when feature = 'word_length' then q1 - reach end) as lo_word_length from bounds group by all),
+deciles as (select level, gl, gs, feature, min(case when 10 * upto >= total then bin end) as b1, min(case when 2 * upto >= total then bin end) as b5, min(case when 10 * upto >= 9 * total then bin end) as b9
+  from ranked group by all),
+bounds as (select *, {_LOW.format(b='b1')} as d1, {_LOW.format(b='b5')} as d5, {_LOW.format(b='b9')} as d9 from deciles),
+wide as (select level, gl, gs, {wide}, {low} as lo_word_length, {low_words} as lo_n_words from bounds group by level, gl, gs),
 fences as (select lang, source, wide.* exclude (level, gl, gs) from keyed join wide using (level, gl, gs))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
 not base_failed and {inside} and coalesce({rate('word_chars')} >= lo_word_length, true) as kept from b left join fences using (lang, source)"""
