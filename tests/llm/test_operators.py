@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import html.parser
 import random
 import re
 import zlib
@@ -12,11 +13,12 @@ import pandas as pd
 import pytest
 import sentencepiece
 
-from textloom.llm import components, decontaminate, html_text, licences, quality_classifier, quality_rules, sentence_pieces, sharding, simhash, token_counts, warc
+from textloom.llm import components, decontaminate, html_text, licences, quality_classifier, quality_rules, registry, sentence_pieces, sharding, simhash, token_counts, warc
 from textloom.llm.common import fresh_path
 from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key long, key2 string"
+SF = "/root/testdata/sf0.001"
 NASTY = ["", None, " \n\t ", "one", "a b", "é ñ 日本 😀 " * 3, "x" * 5000, "the same text twice " * 40, "the same text twice " * 40, "\x00 nul", "| # * ! " * 50]
 
 
@@ -215,6 +217,18 @@ def test_rules(spark, nasty, empty):
     assert quality_rules.judge(empty).count() == 0
 
 
+def test_fences_follow_their_groups(spark):
+    rng = random.Random(5)
+    text = lambda share, n=100: " ".join(("#" if rng.random() < share else "") + "".join(rng.choices("abcdef", k=rng.randint(3, 7))) for _ in range(n))
+    rows = documents(spark, [text(0.0) for _ in range(300)], list(range(300)), "en", "plain")
+    rows = rows.unionByName(documents(spark, [text(0.2) for _ in range(300)], list(range(300, 600)), "en", "marked"))
+    rows = rows.unionByName(documents(spark, [text(0.2), text(0.9)], [600, 601], "en", "plain")).unionByName(documents(spark, [text(0.9)], [602], "en", "marked"))
+    limits = {r.source: r for r in quality_rules.fences(quality_rules.sketches(quality_rules.base_features(rows))).collect()}
+    assert limits["plain"].hi_symbol_rate < 50 < 250 < limits["marked"].hi_symbol_rate < 600
+    kept = quality_rules.judge(rows).toPandas().set_index("doc_id").kept
+    assert kept[range(600)].all() and not kept[[600, 601, 602]].any()
+
+
 # 6
 def test_licences(spark, nasty, empty):
     texts = [
@@ -277,10 +291,13 @@ PAGE = """<html><head><title>t</title><script>var a="</p>";</script></head><body
 
 
 def test_html_structure():
-    assert html_text.text_of(PAGE, set()) == "Title & more\nOne two three four\nFive"
+    assert html_text.Page(PAGE).text() == "Title & more\nOne two three four\nFive"
     for odd in (None, "", "plain", "<", "<<<>>>", "<a href='x", "<!-- open", "<script>open", "</p></div>", "<p " + "x" * 5000, '<a title="' * 2000):
-        html_text.text_of(odd, set())
-    assert html_text.text_of("plain &lt;text&gt;", set()) == "plain <text>"
+        html_text.Page(odd).text()
+    assert html_text.Page("plain &lt;text&gt;").text() == "plain <text>"
+    assert html_text.Page("A &am<b>p;</b> B").text() == "A &amp; B" and html_text.Page("<p>a&lt;b<i>&gt;</i>").text() == "a<b>"
+    inside = "<article><p class='form-factor'>size</p><p class='search-results'>found</p><p class='related-work'>prior</p><p id='alert'>x</p><div class='notice-board'>y</div><p>kept</p>{}</article>"
+    assert html_text.Page(inside.format("<div class='ad'>a</div><ul class='comments'><li>b</ul><p class='sponsored'>c</p>")).text() == "size\nfound\nprior\nx\ny\nkept"
 
 
 def test_html_wrappers():
@@ -290,7 +307,7 @@ def test_html_wrappers():
         f"<div id='search'><article class='form'>{text}</article></div>", f"<div class='has-sidebar'>{text}</div>", f"<article><div class='share-price'>{text}</div></article>",
         f"<article>{text}</article><div class='comments'><article>bad</article></div>", f"<div class='modal'><div role='main'>{text}</div></div>",
     ):
-        assert html_text.text_of(page, set()) == "The text of the page", page
+        assert html_text.Page(page).text() == "The text of the page", page
 
 
 def test_html_runs(spark):
@@ -310,14 +327,83 @@ def test_html_runs(spark):
 def test_html_runs_in_and_beside_articles(spark):
     rng = random.Random(15)
     words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
-    plea, chrome, text = words(12), words(14), [words(30) for _ in range(6)]
-    rows = [(k, f"<div>{chrome}</div><article><p>{text[k]}</p><div class='x1'>{plea}</div></article>") for k in range(4)]
+    plea, chrome, text = words(12), words(14), [words(30) for _ in range(14)]
+    rows = [(k, f"<div>{chrome}</div><article><p>{text[k]}</p><div class='x1'>{plea}</div></article>") for k in (0, 1, 2, 3, 8, 9, 10, 11, 12)]
     rows += [(4, f"<article><p>{text[0]}</p><p>{words(3)}</p></article>"), (5, f"<article></article><div>{chrome}</div><p>{text[4]}</p>"), (6, f"<main><p>see below</p></main><div>{chrome}</div><p>{text[5]}</p>")]
     rows += [(7, rows[3][1])]
-    out = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame([(k, "http://h/", p) for k, p in rows], "page_id long, url string, html string")).collect()}
-    assert [out[k] for k in (1, 2, 3)] == text[1:4] and out[7] == text[3]
-    assert out[0].startswith(text[0]) and out[4].startswith(text[0])
-    assert out[5] == text[4] and out[6] == "see below\n" + text[5]
+    frame = spark.createDataFrame([(k, "http://h/", p) for k, p in rows], "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in html_text.extract(frame).collect()}
+    assert [out[k] for k in (0, 1, 2, 3, 8, 12)] == [text[k] for k in (0, 1, 2, 3, 8, 12)] and out[7] == text[3]
+    assert out[4].startswith(text[0]) and out[5] == text[4] and out[6] == "see below\n" + text[5]
+    # With fewer pages, or on fewer than half of them, a repeated block inside an article stays.
+    out = {r.page_id: r.text for r in html_text.extract(frame.filter("page_id < 4")).collect()}
+    assert out[1] == f"{text[1]}\n{plea}"
+
+
+def test_html_repeats_by_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    run, pages = 4, []
+    shared = [" ".join(rng.choices("abcdef", k=rng.randint(2, 14))) for _ in range(6)]
+    for k in range(60):
+        blocks = [rng.choice(shared) if rng.random() < 0.4 else " ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(1, 12))) for _ in range(rng.randint(1, 6))]
+        pages.append((k, f"http://host{k % 3}/{k}", "".join(f"<div>{b}</div>" for b in blocks), blocks))
+    streams = {k: " ".join(blocks).split() for k, _, _, blocks in pages}
+    grams = {k: [tuple(t[i : i + run]) for i in range(len(t) - run + 1)] for k, t in streams.items()}
+    expected = {}
+    for k, _, _, blocks in pages:
+        twice = {g for o in streams if o % 3 == k % 3 and streams[o] != streams[k] for g in grams[o]}
+        covered = {i + j for i, g in enumerate(grams[k]) if g in twice for j in range(run)}
+        lines, at = [], 0
+        for b in blocks:
+            words, kept = b.split(), []
+            spans: list[list[int]] = []  # stretches of the block with and without cover
+            for i in range(len(words)):
+                if spans and (at + i in covered) == (spans[-1][-1] in covered):
+                    spans[-1].append(at + i)
+                else:
+                    spans.append([at + i])
+            for span in spans:
+                if span[0] not in covered or (len(span) < run and len(spans) > 1):
+                    kept += [streams[k][i] for i in span]
+            lines += [" ".join(kept)] if kept else []
+            at += len(words)
+        expected[k] = "\n".join(lines or blocks)
+    frame = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract(frame, run).collect()} == expected
+    monkeypatch.setattr(html_text, "MAX_SENT", -1)
+    monkeypatch.setattr(html_text, "PART", 200)
+    assert {r.page_id: r.text for r in html_text.extract(frame, run).collect()} == expected
+
+
+class _Articles(html.parser.HTMLParser):
+    """The text inside article, block by block, by the standard library's parser."""
+
+    def __init__(self, page: str) -> None:
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = 0, [""]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.blocks += [""] if tag in ("p", "h1", "article", "br") and tag != "br" else []
+        self.blocks[-1] += " " if tag == "br" else ""
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.blocks += [""] if tag in ("p", "h1", "article") else []
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def test_html_extraction_against_another_parser(spark):
+    out = registry.QUERIES["op8_html_extraction"](spark, SF).toPandas().set_index("page_id")
+    pages = spark.read.parquet(f"{SF}/pages.parquet").toPandas().set_index("page_id")
+    for page_id, row in pages.iterrows():
+        expected = "\n".join(t for b in _Articles(row.html).blocks if (t := " ".join(b.split())))
+        assert out.loc[page_id].text == expected and out.loc[page_id].url == row.url
 
 
 # 9
