@@ -8,7 +8,8 @@ longer chains prune what the join finds, before the full Hamming distance is tes
 
 Four bits are far fewer than differ at a similarity of 0.8, and no radius that reaches it leaves segments wide enough for a
 join. ``keep_one`` therefore takes the links of the fingerprints as its first candidates, adds every pair that prefixes of their
-shingles in one order must share at that similarity, and confirms all of them by the exact weighted shingle similarity.
+shingles in one order must share at that similarity, prunes these by pigeonring chains of a radius that lies over five deviations
+from the distance expected at 0.8, and confirms what is left by the exact weighted shingle similarity.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes, written
+from .common import text_bytes, without, written
 from .components import connected_components
 
 RADIUS = 4
@@ -30,6 +31,10 @@ TENTHS = 8
 #: One in SAMPLE texts shows which shingles are common (RARE of them or more hold it); at most MAX_COMMON are sent to the executors.
 #: They only set the order of shingles. Any order gives the same result, and one with common shingles last fewer candidates.
 SAMPLE, RARE, MAX_COMMON = 16, 3, 500_000
+#: Bits that may differ between candidates of ``similar``; ten do at a similarity of 0.8, 32 between unlike texts.
+WIDE = 26
+#: Prefix shingles that several texts have, and documents to confirm, are sent to the executors up to so many numbers, else joined.
+MAX_SENT = 8_000_000
 #: Low bit and width of the five segments.
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: A key held by more fingerprints than this is worked in blocks of BLOCK that return only a spanning forest.
@@ -109,6 +114,18 @@ def _chain_masks(length: int) -> list[int]:
     return [_signed(sum(((1 << SEGMENTS[(i + k) % 5][1]) - 1) << SEGMENTS[(i + k) % 5][0] for k in range(length))) for i in range(5)]
 
 
+def _ring(a, b, radius: int):
+    """Whether from some segment on every chain of k segments differs in at most ``radius * k // 5`` bits, and the whole in ``radius``."""
+    diff = a.bitwiseXOR(b)
+    start = F.lit(False)
+    for i in range(5):
+        chain = F.lit(True)
+        for length in (1, 2, 3, 4):
+            chain &= F.bit_count(diff.bitwiseAND(F.lit(_chain_masks(length)[i]).cast("long"))) <= radius * length // 5
+        start |= chain
+    return (F.bit_count(diff) <= radius) & start
+
+
 def _within_budget(key, a, b):
     """The chains of three and four segments, then the whole distance."""
     diff = a.bitwiseXOR(b)
@@ -220,44 +237,87 @@ def _common(docs: DataFrame, shingle: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """documents -> (doc_id, id, fp, n, prefix): id stands for the shingle counts, n is their sum.
+    """documents -> (doc_id, id, fp, n): id stands for the shingle counts, n is their sum."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hashes = [_hashes(text, shingle) for text in batch["text"]]
+            rows = [(_digest(_elements(h)), _signed(_majority(h)), len(h)) for h in hashes]
+            ids, fps, sizes = np.array(rows, np.int64).reshape(-1, 3).T
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "id": ids, "fp": fps, "n": sizes})
+
+    return _read(docs).mapInPandas(run, "doc_id long, id long, fp long, n long")
+
+
+def _read(docs: DataFrame) -> DataFrame:
+    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), text_bytes().alias("text"))
 
-    The prefix holds the first ``n - ceil(0.8 n) + 1`` elements, rare ones first. Two texts of similarity 0.8 share an element of their prefixes.
+
+def _prefixes(docs: DataFrame, common: np.ndarray, shingle: int, wanted=None) -> DataFrame:
+    """documents -> (key, at, id): the first ``n - ceil(0.8 n) + 1`` elements of each text, rare ones first; with ``wanted``, a broadcast array, only these keys.
+
+    Two texts of similarity 0.8 share such an element. Texts that a task has met before aren't repeated.
     """
-    common = _common(docs, shingle)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids, fps, sizes, prefixes = [], [], [], []
-            for text in batch["text"]:
-                hashes = _hashes(text, shingle)
-                x = _elements(hashes)
-                n = len(x)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, x), len(common) - 1)
-                    ordered = x[np.argsort(common[at] == x, kind="stable")]
-                else:
-                    ordered = x
-                ids.append(_digest(x)), fps.append(_signed(_majority(hashes))), sizes.append(n)
-                prefixes.append(ordered[: n + (-TENTHS * n) // 10 + 1])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "id": ids, "fp": fps, "n": sizes, "prefix": prefixes})
-
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), text_bytes().alias("text"))
-    return rows.mapInPandas(run, "doc_id long, id long, fp long, n long, prefix array<long>")
+        keep = None if wanted is None else wanted.value
+        met: set[int] = set()
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                keys, places, ids = [], [], []
+                for text in whole["text"].iloc[at : at + 256]:
+                    x = _elements(_hashes(text, shingle))
+                    if (k := _digest(x)) in met:
+                        continue
+                    if len(met) > 500_000:
+                        met.clear()
+                    met.add(k)
+                    if len(common):
+                        x = x[np.argsort(_among(x, common), kind="stable")]
+                    x = x[: len(x) + (-TENTHS * len(x)) // 10 + 1]
+                    place = np.arange(len(x))
+                    if keep is not None:
+                        place = np.flatnonzero(_among(x, keep))
+                        x = x[place]
+                    keys.append(x), places.append(place), ids.append(np.full(len(x), k, np.int64))
+                if keys:
+                    yield pd.DataFrame({"key": np.concatenate(keys), "at": np.concatenate(places).astype(np.int32), "id": np.concatenate(ids)})
+
+    return _read(docs).select("text").mapInPandas(run, "key long, at int, id long")
+
+
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in the sorted array."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
+def _sent(rows: DataFrame, column: str):
+    """The column as a sorted array for all executors, or None where it is too long for that."""
+    if rows.count() > MAX_SENT:
+        return None
+    return rows.sparkSession.sparkContext.broadcast(np.sort(rows.select(column).toPandas()[column].to_numpy(np.int64)))
 
 
 def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     """The (u, v) pairs of ids whose texts have a similarity of at least 0.8."""
     pairs = written(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct(), "pairs")
     asked = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    rows = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).join(classes.join(asked, "id", "left_semi").select(F.col("least").alias("doc_id"), "id"), "doc_id")
+    asked = written(classes.join(asked, "id", "left_semi").select("id", F.col("least").alias("doc_id")), "asked")
+    sent = _sent(asked, "doc_id")
+    rows = _read(docs)
+    if sent is None:
+        rows = rows.join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(k, x) for k, x in zip(batch["id"], (_elements(_hashes(t, shingle)) for t in batch["text"]), strict=True) if _digest(x) == k]
-            yield pd.DataFrame({"id": np.array([k for k, _ in found], np.int64), "els": [x.tobytes() for _, x in found]})
+            if sent is not None:
+                batch = batch[_among(batch["doc_id"].to_numpy(np.int64), sent.value)]
+            found = [_elements(_hashes(t, shingle)) for t in batch["text"]]
+            yield pd.DataFrame({"id": np.array([_digest(x) for x in found], np.int64), "els": [x.tobytes() for x in found]})
 
-    # A repeated doc_id may bring other texts; the digest tells them apart, and equal ones are taken once.
+    # Of rows with an asked doc_id those with another text bring an id that no pair has, or one whose elements are the same.
     sets = written(rows.mapInPandas(run, "id long, els binary").groupBy("id").agg(F.first("els").alias("els")), "sets")
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -273,38 +333,46 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: i
     return written(left.join(sets.select(F.col("id").alias("v"), F.col("els").alias("b")), "v").select("u", "v", "a", "b").mapInPandas(test, "u long, v long"), "links")
 
 
+def _shared_keys(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """(key, id, at, n, fp): prefix elements that several classes have. All elements are shuffled once, with partial aggregation; only the shared ones go on."""
+    common = _common(docs, shingle)
+    every = _prefixes(docs, common, shingle)
+    shared = written(every.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("key"), "shared")
+    sent = _sent(shared, "key")
+    rows = every.join(shared, "key", "left_semi") if sent is None else _prefixes(docs, common, shingle, sent)
+    rows = rows.groupBy("key", "id").agg(F.min("at").alias("at"))
+    return written(rows.join(classes.select("id", "n", "fp"), "id"), "keys")
+
+
 def similar(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """documents -> (doc_id, component_id): documents of one component can be reached from one another over pairs of similarity 0.8.
 
-    Three sets of candidates, each confirmed: fingerprints within RADIUS bits; in each prefix shingle the largest text with the others;
-    then all pairs with a common prefix shingle that aren't of one component by now. The last misses nothing, the first two keep it small.
+    Candidates, each confirmed: fingerprints within RADIUS bits, and for each prefix shingle the largest text with the others;
+    then all pairs with a common prefix shingle that aren't of one component by now. The last misses nothing that the chains of WIDE bits
+    let pass, the first two keep it small. Texts without words are alike.
     """
     marked = written(_signatures(docs, shingle), "signatures")
-    classes = written(marked.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
+    classes = written(marked.groupBy("id").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("n").alias("n")), "classes")
     prints = classes.groupBy("fp").agg(F.min("id").alias("head"))
     near = links(prints.select("fp")).join(prints.select(F.col("fp").alias("u"), F.col("head").alias("hu")), "u").join(prints.select(F.col("fp").alias("v"), F.col("head").alias("hv")), "v")
     near = near.select(F.col("hu").alias("u"), F.col("hv").alias("v")).unionByName(classes.join(prints, "fp").select(F.col("id").alias("u"), F.col("head").alias("v")))
-    found = _confirmed(docs, classes, near, shingle)
-    # The smaller text of a pair shares one of its first n - ceil(8/9 n) + 1 elements, the larger one of its prefix.
-    keyed = classes.select("id", "n", F.posexplode("prefix").alias("at", "key")).withColumn("own", F.expr(f"{TENTHS + 10} * at <= {10 - TENTHS} * n"))
-    counts = keyed.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1").select("key")
-    keyed = written(keyed.join(counts, "key"), "keys")
-    for every in (False, True):
-        groups = connected_components(found).withColumnRenamed("node", "id")
-        rows = keyed.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        # A key whose texts are all of one component has no pair left.
-        open_keys = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max(F.struct("n", "id")).alias("top")).filter("a <> b").select("key", "top")
-        rows = rows.join(open_keys, "key")
-        if every:
-            x = rows.filter("own").select("key", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"), F.col("at").alias("pu"))
-            y = rows.select("key", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"), F.col("at").alias("pv"))
-            # The first shared key of a pair leaves room for the overlap that the similarity needs.
-            room = F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv")) * (TENTHS + 10) >= TENTHS * (F.col("nu") + F.col("nv"))
-            size = ((F.col("nu") < F.col("nv")) | ((F.col("nu") == F.col("nv")) & (F.col("u") != F.col("v")))) & (10 * F.col("nu") >= TENTHS * F.col("nv"))
-            pairs = x.join(y, "key").filter((F.col("cu") != F.col("cv")) & size & room)
-        else:
-            pairs = rows.filter(f"id <> top.id and 10 * n >= {TENTHS} * top.n").select(F.col("id").alias("u"), F.col("top.id").alias("v"))
-        found = found.unionByName(_confirmed(docs, classes, pairs.select("u", "v"), shingle))
+    keyed = _shared_keys(docs, classes, shingle)
+    tops = keyed.groupBy("key").agg(F.max(F.struct("n", "id", "fp")).alias("top"))
+    star = keyed.join(tops, "key").filter((F.col("id") != F.col("top.id")) & (10 * F.col("n") >= TENTHS * F.col("top.n")) & _ring(F.col("fp"), F.col("top.fp"), WIDE))
+    found = _confirmed(docs, classes, near.unionByName(star.select(F.col("id").alias("u"), F.col("top.id").alias("v"))), shingle)
+    # A key whose texts are all of one component has no pair left. The smaller text of a pair shares one of its
+    # first n - ceil(8/9 n) + 1 elements, the larger one of its prefix.
+    groups = connected_components(found).withColumnRenamed("node", "id")
+    rows = keyed.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_keys = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
+    rows = written(rows.join(open_keys, "key", "left_semi"), "open")
+    x, y = (rows.select("key", *[F.col(c).alias(side + c) for c in ("id", "n", "component", "at", "fp")]) for side in "xy")
+    # The first shared key of a pair leaves room for the overlap that the similarity needs.
+    room = F.least(F.col("xn") - F.col("xat"), F.col("yn") - F.col("yat")) * (TENTHS + 10) >= TENTHS * (F.col("xn") + F.col("yn"))
+    size = ((F.col("xn") < F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("xid") != F.col("yid")))) & (10 * F.col("xn") >= TENTHS * F.col("yn"))
+    own = F.expr(f"{TENTHS + 10} * xat <= {10 - TENTHS} * xn")
+    pairs = x.filter(own).join(y, "key").filter((F.col("xcomponent") != F.col("ycomponent")) & size & room & _ring(F.col("xfp"), F.col("yfp"), WIDE))
+    found = found.unionByName(_confirmed(docs, classes, pairs.select(F.col("xid").alias("u"), F.col("yid").alias("v")), shingle))
     labelled = classes.select("id", "least").join(connected_components(found).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     return marked.select("doc_id", "id").join(labelled.join(least, "component").select("id", "component_id"), "id").select("doc_id", "component_id")
@@ -312,5 +380,4 @@ def similar(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
 def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """Keeps the document with the least doc_id of each component of similar texts, with all columns; rows without doc_id stay."""
-    found = similar(docs, shingle).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return without(docs, similar(docs, shingle).filter("doc_id <> component_id").select("doc_id").distinct())
