@@ -250,6 +250,46 @@ def test_no_template_is_left_out(spark):
     assert got == [(0, 0, "isc"), (1, 3, "isc"), (2, 0, "mit"), (3, 4, "isc")]
 
 
+def test_unknown_licences():
+    """Notices that no model has seen, calibrated: other licences and ordinary text are unknown or unsure, families are found."""
+    known = {"mit": "this project is distributed under the terms of the mit license", "apache": "code released under the apache license version 2.0", "gpl": "released under gpl 3.0 by the authors"}
+    assert all(licences.classify(licences._tokens(t))[0] == f for f, t in known.items())
+    unseen = ["licensed under the sleepycat license", "licensed under the ibm public license version 1.0", "released under the educational community license", "the driver lost the license in the house of books", "permission slip for the school trip"]
+    assert all(f == "unknown" or p < 0.9 for f, p in (licences.classify(licences._tokens(t)) for t in unseen))
+
+
+def test_licences_by_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    wrapped = ["x y\n\n" + t.replace(" ", "\n", 9) for ts in licences.TEMPLATES.values() for t in ts] + [o for row in licences.OTHERS for o in row]
+    rows += [(10_000 + k, t) for k, t in enumerate(wrapped)]
+
+    def judged(text):
+        words = re.findall("[a-z0-9]+", text.lower())
+        family, p = licences.classify(words)
+        mine = set(licences._triples(words))
+        share = max((len(mine & set(t)) / len(t) for t in map(licences._triples, map(licences._tokens, licences.TEMPLATES.get(family, ())))), default=0)
+        return family if family != "unknown" and p >= licences.MIN_PROBABILITY and share >= licences.MIN_TEMPLATE else None
+
+    expected = []
+    for doc_id, text in rows:
+        lines, start = text.split("\n"), 0
+        while start < len(lines):
+            end = start
+            while end < len(lines) and lines[end].strip(" \t\r\f\v"):
+                end += 1
+            hits = {}
+            for k in range(start, end):
+                if f := judged(lines[k]):
+                    expected.append((doc_id, k, f))
+                    hits[f] = True
+            if end - start > 1 and (f := judged("\n".join(lines[start:end]))) and f not in hits:
+                expected.append((doc_id, start, f))
+            start = end + 1
+    got = licences.scan(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, block int")).collect()
+    assert sorted((r.doc_id, r.paragraph, r.family) for r in got) == sorted(expected) and len(expected) > 40
+
+
+
 def test_licence_scores_match_numpy(spark):
     classes, weights, intercepts, temperature = licences.train()
     line = "This file is released under the MIT License"

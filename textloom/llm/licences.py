@@ -1,9 +1,12 @@
 """Licence scan: a paragraph classifier over sparse word n-grams, confirmed against templates.
 
 A logistic regression over single words and word pairs (present or not) is fitted here, on notices written from the
-templates below and on ordinary paragraphs, to a class for each licence family and one for unknown. A temperature fitted
-on held-out paragraphs calibrates its probabilities. Scoring is a join of a paragraph's n-grams with the table of
-weights and a sum; weights are whole numbers, so a sum is the same in any order.
+templates below, on notices of other licences and on ordinary paragraphs, to a class for each licence family and one for unknown.
+A temperature calibrates its probabilities: it is fitted on templates and on licences that the model which it is fitted with has not seen.
+Scoring looks a paragraph's n-grams up in the table of weights and adds them; weights are whole numbers, so a sum is the same in any order.
+
+A paragraph is a notice of a family if the model says so and at least half of the word triples of a template of that family stand in it.
+So every notice holds a template's triple, and only paragraphs that do are scored: nothing that could be confirmed is left out.
 """
 
 from __future__ import annotations
@@ -19,9 +22,10 @@ UNKNOWN = "unknown"
 MIN_PROBABILITY, MIN_TEMPLATE = 0.5, 0.5
 SCALE = 10_000
 SEED, VARIANTS, NEGATIVES, STEPS = 7, 24, 700, 300
+TEMPERATURES = (0.5, 0.7, 1.0, 1.4, 2.0, 2.8)
 TEMPLATES = {
     "apache": (
-        "licensed under the apache license version 2.0", "released under the apache license", "distributed under the apache 2.0 license", "spdx license identifier apache 2.0",
+        "licensed under the apache license version 2.0", "released under the apache license", "distributed under the apache 2.0 license", "spdx license identifier apache 2.0", "distributed under apache 2.0",
         "you may not use this file except in compliance with the license you may obtain a copy of the license at apache org licenses license 2.0",
     ),
     "mit": (
@@ -33,7 +37,7 @@ TEMPLATES = {
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     ),
     "gpl": (
-        "this work is licensed under the gnu general public license version 3", "licensed under the gnu gpl", "released under the gpl version 2 license", "spdx license identifier gpl 3.0",
+        "this work is licensed under the gnu general public license version 3", "licensed under the gnu gpl", "released under the gpl version 2 license", "spdx license identifier gpl 3.0", "released under gpl 3.0", "licensed under gpl v3",
         "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
     ),
     "lgpl": ("licensed under the gnu lesser general public license", "released under the lgpl license", "under the terms of the gnu lesser general public license", "spdx license identifier lgpl 2.1"),
@@ -47,6 +51,17 @@ TEMPLATES = {
     "isc": ("licensed under the isc license", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     "proprietary": ("all rights reserved", "copyright all rights reserved no part of this publication may be reproduced", "unauthorized copying of this file is strictly prohibited all rights reserved"),
 }
+#: Licences outside the families: unknown, like ordinary text. The second row is kept from the model that the temperature is fitted with.
+OTHERS = (
+    (
+        "licensed under the eclipse public license version 2.0", "distributed under the boost software license version 1.0", "licensed under the artistic license 2.0", "licensed under the sil open font license version 1.1",
+        "licensed under the european union public licence version 1.2", "made available under the open database license", "licensed under the microsoft public license", "this software is provided as is without any express or implied warranty",
+    ),
+    (
+        "licensed under the common development and distribution license version 1.0", "released under the academic free license version 3.0", "distributed under the python software foundation license", "licensed under the universal permissive license",
+        "licensed under the open software license 3.0", "released under the mulan permissive software license", "available under the zope public license", "subject to the q public license version 1.0",
+    ),
+)
 #: Words of ordinary paragraphs, among them those that notices share.
 _COMMON = (
     "the of and to a in is that for it as was with be by on not he this are or his from at which but have an had they you were there one all we can more when who will would if so said what "
@@ -79,52 +94,77 @@ def anchors() -> tuple[str, ...]:
     chosen: list[str] = []
     while open_ := [rest for t in held if len(rest := [g for g in t if not g & set(chosen)]) >= MIN_TEMPLATE * len(t)]:
         gain = {w: sum(w in g for rest in open_ for g in rest) for rest in open_ for g in rest for w in g}
-        chosen.append(min(gain, key=lambda w: (w in _COMMON[:100] or w.isdigit(), w in ("under", "without"), w in _COMMON and not w.startswith("licens"), -gain[w], w)))
+        chosen.append(min(gain, key=lambda w: (w in _COMMON[: _COMMON.index("good")] or w.isdigit(), w in ("under", "without"), w in _COMMON and not w.startswith("licens"), -gain[w], w)))
     return tuple(chosen)
 
 
+def _soft(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
 @functools.cache
 def train() -> tuple[tuple[str, ...], dict[str, tuple[int, ...]], tuple[int, ...], float]:
-    """(classes, weights by n-gram, intercepts, temperature); the same on every call."""
+    """(classes, weights by n-gram, intercepts, temperature); the same on every call.
+
+    The second template of each family and the second row of ``OTHERS`` are kept from a first model, whose probabilities of them fit the
+    temperature; the model itself sees all.
+    """
     rng = np.random.default_rng(SEED)
     classes = (*sorted(TEMPLATES), UNKNOWN)
     filler = lambda n: [str(w) for w in rng.choice(_COMMON, n)]
-    rows: list[tuple[list[str], int]] = []
+
+    def written_from(template: str) -> list[list[str]]:
+        words = _tokens(template)
+        out = [words]
+        for _ in range(VARIANTS):
+            drop = int(rng.integers(0, len(words))) if len(words) > 8 and rng.integers(0, 2) else -1
+            out.append(filler(int(rng.integers(0, 12))) + [w for i, w in enumerate(words) if i != drop] + filler(int(rng.integers(0, 12))))
+        return out
+
+    rows: list[tuple[list[str], int, bool]] = []  # words, class, whether kept from the first model
     for k, family in enumerate(classes[:-1]):
-        for template in TEMPLATES[family]:
-            words = _tokens(template)
-            rows.append((words, k))
-            for _ in range(VARIANTS):
-                drop = int(rng.integers(0, 2)) if len(words) > 8 else 0
-                kept = [w for i, w in enumerate(words) if i != int(rng.integers(0, len(words))) or not drop]
-                rows.append((filler(int(rng.integers(0, 12))) + kept + filler(int(rng.integers(0, 12))), k))
-    rows += [(filler(int(rng.integers(1, 60))), len(classes) - 1) for _ in range(NEGATIVES)]
-    vocab = sorted({g for family in TEMPLATES.values() for t in family for g in _grams(_tokens(t))})
+        last = len(TEMPLATES[family]) - 1
+        rows += [(words, k, i == min(1, last) > 0) for i, template in enumerate(TEMPLATES[family]) for words in written_from(template)]
+    rows += [(words, len(classes) - 1, bool(i)) for i, others in enumerate(OTHERS) for other in others for words in written_from(other)]
+    rows += [(filler(int(rng.integers(1, 60))), len(classes) - 1, i % 5 == 0) for i in range(NEGATIVES)]
+    vocab = sorted({g for texts in (*TEMPLATES.values(), *OTHERS) for t in texts for g in _grams(_tokens(t))})
     place = {g: i for i, g in enumerate(vocab)}
     x = np.zeros((len(rows), len(vocab)), np.float32)
-    for i, (words, _) in enumerate(rows):
+    for i, (words, _, _) in enumerate(rows):
         x[i, [place[g] for g in _grams(words) if g in place]] = 1
-    y = np.eye(len(classes), dtype=np.float32)[[k for _, k in rows]]
-    held = np.arange(len(rows)) % 5 == 0
-    w, b = np.zeros((len(vocab), len(classes)), np.float32), np.zeros(len(classes), np.float32)
-    soft = lambda z: (e := np.exp(z - z.max(1, keepdims=True))) / e.sum(1, keepdims=True)
-    tx, ty = x[~held], y[~held]
-    for _ in range(STEPS):
-        error = (soft(tx @ w + b) - ty) / len(tx)
-        w -= 4.0 * (tx.T @ error + 2e-5 * w)
-        b -= 4.0 * error.sum(0)
-    w, b = np.round(w * SCALE).astype(int), np.round(b * SCALE).astype(int)
+    y = np.eye(len(classes), dtype=np.float32)[[k for _, k, _ in rows]]
+    held = np.array([h for _, _, h in rows])
+
+    def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w, b = np.zeros((len(vocab), len(classes)), np.float32), np.zeros(len(classes), np.float32)
+        for _ in range(STEPS):
+            error = (_soft(x @ w + b) - y) / len(x)
+            w -= 4.0 * (x.T @ error + 2e-5 * w)
+            b -= 4.0 * error.sum(0)
+        return np.round(w * SCALE).astype(int), np.round(b * SCALE).astype(int)
+
+    w, b = fit(x[~held], y[~held])
     z = (x[held] @ w + b) / SCALE
-    loss = {t: -np.log((soft(z / t) * y[held]).sum(1) + 1e-12).mean() for t in (0.5, 0.7, 1.0, 1.4, 2.0, 2.8)}
+    loss = {t: -np.log((_soft(z / t) * y[held]).sum(1) + 1e-12).mean() for t in TEMPERATURES}
+    w, b = fit(x, y)
     return classes, {g: tuple(int(v) for v in w[i]) for g, i in place.items()}, tuple(int(v) for v in b), min(loss, key=loss.get)
 
 
-def _array(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def classify(words: list[str]) -> tuple[str, float]:
+    """Family or unknown, and its probability, of one paragraph; what ``scan`` computes, in Python."""
+    classes, weights, intercepts, temperature = train()
+    z = (np.array(intercepts) + sum((np.array(weights[g]) for g in _grams(words) if g in weights), np.zeros(len(classes), int))) / (SCALE * temperature)
+    return classes[int(z.argmax())], float(_soft(z[None, :]).max())
+
+
+def _constant(values) -> Column:
+    """An array of strings that the optimizer folds to one literal."""
+    return F.split(F.lit("|".join(values)), r"\|")
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """documents -> (doc_id, block, wide, paragraph, words): lines that hold an anchor, and the blocks of non-blank lines that such a line stands in.
+    """documents -> (doc_id, block, wide, paragraph, words): lines that hold a template's triple, and such blocks of non-blank lines.
 
     paragraph is the line's number, or that of the block's first line; wide marks blocks, of which those of one line are left out.
     """
@@ -138,12 +178,25 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     blocks = pieces.select("doc_id", F.explode(F.transform(numbered, lambda s: F.struct(start(s).alias("start"), F.rtrim(s["x"], F.lit(" \t\r\n\f")).alias("x")))).alias("b"))
     # Identifies a block between here and the end of the scan; it isn't evaluated twice.
     blocks = blocks.select("doc_id", F.monotonically_increasing_id().alias("block"), "b.start", "b.x")
-    lines = F.filter(
-        F.transform(F.split("x", "\n"), lambda x, i: F.struct(F.lit(False).alias("wide"), (F.col("start") + i).alias("paragraph"), x.alias("line"))), lambda s: hit(s["line"])
-    )
+    lines = F.transform(F.split("x", "\n"), lambda x, i: F.struct(F.lit(False).alias("wide"), (F.col("start") + i).alias("paragraph"), x.alias("line")))
     whole = F.filter(F.array(F.struct(F.lit(True).alias("wide"), F.col("start").alias("paragraph"), F.col("x").alias("line"))), lambda s: F.contains(s["line"], F.lit("\n")))
-    rows = blocks.select("doc_id", "block", F.explode(F.concat(lines, whole)).alias("p"))
-    return rows.select("doc_id", "block", "p.wide", "p.paragraph", F.regexp_extract_all(F.lower("p.line"), F.lit("[a-z0-9]+"), F.lit(0)).alias("words"))
+    words = lambda s: F.regexp_extract_all(F.lower(s["line"]), F.lit("[a-z0-9]+"), F.lit(0))
+    read = F.transform(F.filter(F.concat(lines, whole), lambda s: hit(s["line"])), lambda s: F.struct(s["wide"].alias("wide"), s["paragraph"].alias("paragraph"), words(s).alias("words")))
+    known = _constant(sorted({t for family in TEMPLATES.values() for x in family for t in _triples(_tokens(x))}))
+    # What holds no template's triple can't be confirmed. Words are explicit here, so that nothing below this row is computed again for each of them.
+    chosen = F.filter(read, lambda s: F.arrays_overlap(_runs(s["words"], 3), known))
+    return blocks.select("doc_id", "block", F.explode(chosen).alias("p")).select("doc_id", "block", "p.wide", "p.paragraph", "p.words")
+
+
+def _runs(words: Column, n: int) -> Column:
+    """All runs of n words; all words together where they are fewer."""
+    run = lambda i: F.concat_ws(" ", *[F.element_at(words, i + k) for k in range(n)])
+    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), run)).otherwise(F.array(F.concat_ws(" ", words)))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -154,38 +207,27 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no lines. Every row is scanned, repeated rows and rows without doc_id too. Lines of any length are taken whole.
     """
-    spark = docs.sparkSession
     classes, weights, intercepts, temperature = train()
-    # As many rows as the templates have n-grams, whatever the documents.
-    table = F.broadcast(spark.createDataFrame([(g, list(w)) for g, w in weights.items()], "gram string, w array<int>"))
-    # Identifies a paragraph between here and the sum below; it isn't evaluated twice.
-    found = paragraphs(docs).withColumn("uid", F.monotonically_increasing_id())
-    pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.element_at("words", i), F.element_at("words", i + 1)))
-    grams = F.array_distinct(F.concat("words", F.when(F.size("words") > 1, pairs).otherwise(F.array().cast("array<string>"))))
-    triples = F.when(
-        F.size("words") > 2,
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words") - 2), lambda i: F.concat_ws(" ", F.element_at("words", i), F.element_at("words", i + 1), F.element_at("words", i + 2)))),
-    ).otherwise(F.array(F.concat_ws(" ", "words")))
-    shares = [
-        F.struct(
-            F.lit(family).alias("family"),
-            F.greatest(F.lit(0.0), *[F.size(F.array_intersect("triples", _array(t))) / F.lit(len(t)) for t in (_triples(_tokens(x)) for x in TEMPLATES[family])]).alias("share"),
-        )
-        for family in classes[:-1]
-    ]
-    compared = found.withColumn("triples", triples).withColumn("shares", F.array(*shares))
-    joined = compared.select("uid", "doc_id", "block", "wide", "paragraph", "shares", F.explode(grams).alias("gram")).join(table, "gram")
-    logits = joined.groupBy("uid").agg(
-        F.first("doc_id").alias("doc_id"), F.first("block").alias("block"), F.first("wide").alias("wide"), F.first("paragraph").alias("paragraph"), F.first("shares").alias("shares"),
-        F.array(*[((F.sum(F.element_at("w", k + 1)) + F.lit(b)) / (SCALE * temperature)) for k, b in enumerate(intercepts)]).alias("z"),
-    )
-    top = F.array_max("z")
-    scored = logits.withColumn("best", F.array_position("z", top).cast("int")).withColumn(
-        "probability", 1 / F.aggregate("z", F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
-    )
-    named = scored.filter(F.col("best") <= len(classes) - 1).withColumn("pick", F.element_at("shares", F.col("best")))
-    sure = named.filter((F.col("probability") >= MIN_PROBABILITY) & (F.col("pick.share") >= MIN_TEMPLATE))
-    in_line = F.min("wide").over(Window.partitionBy("block", "pick.family"))
+    found = paragraphs(docs)
+    # array_intersect gives each n-gram once.
+    grams = F.array_intersect(F.concat("words", _runs(F.col("words"), 2)), _constant(weights))
+    table = F.str_to_map(F.lit("|".join(f"{g}:{' '.join(map(str, w))}" for g, w in weights.items())), F.lit(r"\|"), F.lit(":"))
+    numbers = lambda text: F.split(text, " ").cast("array<int>")
+    add = lambda acc, g: F.zip_with(acc, numbers(F.element_at(table, g)), lambda a, b: a + b)
+    sums = F.aggregate(grams, numbers(F.lit(" ".join(map(str, intercepts)))), add)
+    likely = lambda z, top: F.struct(F.array_position(z, top).cast("int").alias("best"), (1 / F.aggregate(z, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))).alias("probability"))
+    verdict = _let(sums, lambda s: _let(F.transform(s, lambda v: v / (SCALE * temperature)), lambda z: _let(F.array_max(z), lambda top: likely(z, top))))
+    # An explode of one row, over which no filter is pushed down: the sums are computed once.
+    scored = found.select("*", F.explode(F.array(verdict)).alias("verdict")).select("*", "verdict.*")
+    named = scored.filter((F.col("best") < len(classes)) & (F.col("probability") >= MIN_PROBABILITY))
+    # Only the templates of the family that the model names are compared.
+    templates = F.element_at(_constant(["/".join(",".join(_triples(_tokens(x))) for x in TEMPLATES[f]) for f in classes[:-1]]), F.col("best"))
+    held = lambda t, have: F.size(F.array_intersect(F.split(t, ","), have)) / F.size(F.split(t, ","))
+    share = _let(_runs(F.col("words"), 3), lambda have: F.array_max(F.transform(F.split(templates, "/"), lambda t: held(t, have))))
+    family = F.element_at(_constant(classes), F.col("best"))
+    sure = named.select("doc_id", "block", "wide", "paragraph", family.alias("family"), "probability", share.alias("share"))
+    sure = sure.filter(F.col("share") >= MIN_TEMPLATE)
+    in_line = F.min("wide").over(Window.partitionBy("block", "family"))
     return sure.withColumn("least", in_line).filter("wide = least").select(
-        "doc_id", "paragraph", F.col("pick.family").alias("family"), F.round("probability", 6).alias("probability"), F.round("pick.share", 6).alias("template_share")
+        "doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), F.round("share", 6).alias("template_share")
     )
