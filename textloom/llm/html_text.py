@@ -350,7 +350,7 @@ def extract(pages: DataFrame, run: int = RUN) -> DataFrame:
     n = marked.count()
     if n > MAX_SENT:
         return _by_host(rows, marked, run)
-    found = marked.toPandas()
+    found = marked.toArrow().to_pandas()
     sent = rows.sparkSession.sparkContext.broadcast({host: _split(x) for host, x in found.groupby("host")})
 
     def run_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

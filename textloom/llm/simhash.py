@@ -232,8 +232,8 @@ def _common(docs: DataFrame, shingle: int) -> np.ndarray:
 
     sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select(text_bytes().alias("text")).distinct()
     counts = sample.mapInPandas(run, "el long").groupBy("el").agg(F.count("*").alias("n")).filter(F.col("n") >= RARE)
-    top = counts.orderBy(F.desc("n"), "el").limit(MAX_COMMON).toPandas()
-    return np.sort(top["el"].to_numpy(np.int64))
+    top = counts.orderBy(F.desc("n"), "el").limit(MAX_COMMON).select("el").toArrow()
+    return np.sort(top.column(0).to_numpy())
 
 
 def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
@@ -297,7 +297,7 @@ def _sent(rows: DataFrame, column: str):
     """The column as a sorted array for all executors, or None where it is too long for that."""
     if rows.count() > MAX_SENT:
         return None
-    return rows.sparkSession.sparkContext.broadcast(np.sort(rows.select(column).toPandas()[column].to_numpy(np.int64)))
+    return rows.sparkSession.sparkContext.broadcast(np.sort(rows.select(column).toArrow().column(0).to_numpy()))
 
 
 def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
