@@ -204,3 +204,33 @@ def test_default_stopwords_are_the_full_list(spark):
     words = {r.word for r in readers.load_stopwords(spark).collect()}
     assert len(words) == len(readers.STOPWORDS) == 636
     assert {"able", "according", "would", "zero", "j", "whereupon", "the"} <= words and not {"keep", "keeps", "sure", "t", ""} & words
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_search_reads_the_query_terms_only(spark, small, tmp_path):
+    small.save(str(tmp_path / "index"))
+    stored = ix.Index.load(spark, str(tmp_path / "index"))
+    for found in (se.search(stored, "red fox dog"), se.search(stored, "red fox dog", "and", "tfidf"), se.search_many(stored, spark.createDataFrame([(1, "red fox"), (2, "dog")], "qid int, text string"))):
+        text_of_plan = found._jdf.queryExecution().toString()
+        scans = [line for line in text_of_plan.splitlines() if "FileScan parquet" in line and "/postings" in line]
+        assert scans and all("In(term, [" in line for line in scans)
+        assert "SortMergeJoin" not in plan(found) and not [x for x in plan(found).splitlines() if "Exchange hashpartitioning(term" in x]
+
+
+def test_many_terms_are_joined(spark, small, monkeypatch):
+    queries = spark.createDataFrame([(1, "red fox"), (2, "dog zzz"), (3, "")], "qid int, text string")
+    want = sorted(rows(se.search_many(small, queries)))
+    for name, most in (("MAX_FILTER", 1), ("MAX_SENT", 1)):
+        monkeypatch.setattr(se, name, most)
+        assert sorted(rows(se.search_many(small, queries))) == want
+
+
+def test_skip_blocks_of_a_long_list(spark, monkeypatch):
+    monkeypatch.setattr(ix, "_BUCKET", 3)
+    table = spark.range(1, 200).selectExpr("'t' term", "id * 5 docid", "1 tf")
+    got = sorted((r.block_no, r.end_docid, r.n_postings) for r in ix.skip_blocks(table).collect())
+    ids = [k * 5 for k in range(1, 200)]
+    assert got == [(b, chunk[-1], len(chunk)) for b, chunk in enumerate(ids[i : i + 14] for i in range(0, 199, 14))]

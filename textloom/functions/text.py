@@ -45,9 +45,20 @@ def normalize(text: Column | str) -> Column:
     return F.lower(steps_upto(text, "blanks"))
 
 
+#: What lies between two tokens: anything but letters, and single letters that stand between such.
+_BETWEEN = r"[^a-zA-Z]+(?:[a-zA-Z][^a-zA-Z]+)*+"
+
+
 def tokens(text: Column | str) -> Column:
-    """Tokens of the normalised form, in order, repeats kept; none for a null text."""
-    return F.coalesce(F.filter(F.split(normalize(text), " "), lambda t: t != ""), F.array().cast("array<string>"))
+    """Tokens of the normalised form, in order, repeats kept; none for a null text.
+
+    All steps but the URLs only turn characters into spaces, and a token is a run of letters; so one pass finds what the steps leave.
+    Texts that may hold a URL take the steps up to it first.
+    """
+    text = _column(text)
+    plain = F.when(F.contains(text, F.lit("://")), step(step(text, "charset"), "url")).otherwise(text)
+    words = F.trim(F.lower(F.regexp_replace(plain, F.lit(_BETWEEN), F.lit(" "))))
+    return F.when(F.length(words) > 0, F.split(words, " ")).otherwise(_empty())
 
 
 def _once(value: Column, use) -> Column:

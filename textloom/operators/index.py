@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from textloom.functions import codecs, text, weights
 from textloom.functions.stem import stem_words
 from textloom.sources.readers import STOPWORDS
-from textloom.sources.writers import write_table
+from textloom.sources.writers import write_table, written
 
 TABLES = ("doc_index", "postings", "lexicon")
 
@@ -42,21 +42,33 @@ def stem_column(rows: DataFrame, column: str = "term") -> DataFrame:
     return rows.join(vocabulary, column).withColumn(column, F.col("_stem")).drop("_stem").select(rows.columns)
 
 
+def _lengths(collection: DataFrame, filtered: bool, stopwords) -> DataFrame:
+    """Adds ``_words`` and doclen. Both are of the document's own row: nothing is shuffled, unless the stop words are a table."""
+    words = collection.withColumn("_words", text.tokens("body")).drop("body")
+    if not filtered:
+        return words.withColumn("doclen", F.size("_words"))
+    if isinstance(stopwords, DataFrame):
+        left = drop_stopwords(words.select("docid", F.explode("_words").alias("term")), stopwords).groupBy("docid").agg(F.count("*").cast("int").alias("doclen"))
+        return words.join(left, "docid", "left").withColumn("doclen", F.coalesce("doclen", F.lit(0)))
+    kept = words.withColumn("_words", F.filter("_words", lambda t: ~t.isin(*stopwords)))
+    return kept.withColumn("doclen", F.size("_words"))
+
+
 def count_postings(collection: DataFrame, filtered: bool = False, stopwords=STOPWORDS) -> DataFrame:
-    """(term, docid, tf). Counts are partial before the shuffle, and stems are looked up for counted words, not for tokens."""
-    exploded = collection.select("docid", F.explode(text.tokens("body")).alias("term"))
-    if filtered:
+    """(term, docid, tf, doclen). Counts are partial before the shuffle, and stems are looked up for counted words, not for tokens."""
+    exploded = _lengths(collection, filtered, stopwords).select("docid", "doclen", F.explode("_words").alias("term"))
+    if filtered and isinstance(stopwords, DataFrame):
         exploded = drop_stopwords(exploded, stopwords)
-    counted = exploded.groupBy("term", "docid").agg(F.count("*").cast("int").alias("tf"))
+    counted = exploded.groupBy("term", "docid", "doclen").agg(F.count("*").cast("int").alias("tf"))
     if filtered:
-        counted = stem_column(counted).groupBy("term", "docid").agg(F.sum("tf").cast("int").alias("tf"))
-    return counted
+        vocabulary = stem_words(exploded.select("term").distinct(), "term", "_stem")
+        counted = counted.join(vocabulary, "term").groupBy(F.col("_stem").alias("term"), "docid", "doclen").agg(F.sum("tf").cast("int").alias("tf"))
+    return counted.select("term", "docid", "tf", "doclen")
 
 
-def document_index(collection: DataFrame, postings: DataFrame) -> DataFrame:
+def document_index(collection: DataFrame, filtered: bool = False, stopwords=STOPWORDS) -> DataFrame:
     """(docid, docno, doclen) of all documents; those without tokens have length 0."""
-    lengths = postings.groupBy("docid").agg(F.sum("tf").cast("int").alias("doclen"))
-    return collection.select("docid", "docno").join(lengths, "docid", "left").withColumn("doclen", F.coalesce("doclen", F.lit(0)))
+    return _lengths(collection, filtered, stopwords).select("docid", "docno", "doclen")
 
 
 def statistics(doc_index: DataFrame) -> DataFrame:
@@ -65,10 +77,6 @@ def statistics(doc_index: DataFrame) -> DataFrame:
     return row.select(F.when(F.col("num_docs") > 0, F.col("total_len") / F.col("num_docs")).otherwise(0.0).alias("avg_len"), "total_len", "num_docs")
 
 
-def with_lengths(postings: DataFrame, doc_index: DataFrame) -> DataFrame:
-    return postings.join(doc_index.select("docid", "doclen"), "docid").select("term", "docid", "tf", "doclen")
-
-
 @dataclass
 class Stats:
     """The three numbers of a collection, on the driver."""
@@ -83,7 +91,7 @@ class Stats:
 
 
 def lexicon_counts(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("term").agg(F.count("*").cast("int").alias("df"), F.sum("tf").cast("long").alias("cf"))
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"))
 
 
 def block_size(df: Column) -> Column:
@@ -99,7 +107,7 @@ def lexicon(postings: DataFrame, stats: Stats, k1: float = weights.K1, b: float
     """
     share = F.col("tf") / (F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("doclen") / F.lit(stats.avg_len or 1.0)) + F.col("tf"))
     grouped = postings.groupBy("term").agg(
-        F.count("*").cast("int").alias("df"), F.sum("tf").cast("long").alias("cf"), F.max(share).alias("_share"), F.max("tf").alias("_tf")
+        F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"), F.max(share).alias("_share"), F.max("tf").alias("_tf")
     )
     idf = weights.idf(stats.num_docs)
     return grouped.withColumn("idf", idf).select(
@@ -110,11 +118,25 @@ def lexicon(postings: DataFrame, stats: Stats, k1: float = weights.K1, b: float
     )
 
 
+#: Documents of a bucket, as bits: a term's list is numbered bucket by bucket.
+_BUCKET = 16
+
+
 def skip_blocks(postings: DataFrame) -> DataFrame:
-    """(term, block_no, end_docid, n_postings, doc_bytes, tf_bytes): each term's list in blocks of the root of its length."""
+    """(term, block_no, end_docid, n_postings, doc_bytes, tf_bytes): each term's list in blocks of the root of its length.
+
+    Places in a list are those in a bucket of document numbers plus the postings of the buckets before it, so no task holds the list of a frequent term.
+    """
+    bucketed = postings.withColumn("_bucket", F.shiftright(F.col("docid").cast("long"), _BUCKET))
     by_term = Window.partitionBy("term")
-    placed = postings.withColumn("_n", F.row_number().over(by_term.orderBy("docid"))).withColumn("_df", F.count("*").over(by_term))
-    blocks = placed.withColumn("block_no", F.floor((F.col("_n") - 1) / block_size(F.col("_df"))).cast("int"))
+    counts = bucketed.groupBy("term", "_bucket").agg(F.count("*").alias("_n")).select(
+        "term", "_bucket",
+        F.coalesce(F.sum("_n").over(by_term.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_n").over(by_term).alias("_df"),
+    )
+    inside = F.row_number().over(Window.partitionBy("term", "_bucket").orderBy("docid"))
+    placed = bucketed.withColumn("_in", inside).join(counts, ["term", "_bucket"])
+    blocks = placed.withColumn("block_no", F.floor((F.col("_before") + F.col("_in") - 1) / block_size(F.col("_df"))).cast("int"))
     return blocks.groupBy("term", "block_no").agg(
         F.max("docid").alias("end_docid"), F.count("*").cast("int").alias("n_postings"),
         F.sum(codecs.varbyte_length(F.col("docid"))).cast("int").alias("doc_bytes"), F.sum(codecs.unary_length(F.col("tf"))).cast("int").alias("tf_bytes"),
@@ -146,11 +168,12 @@ class Index:
     filtered: bool
 
     def save(self, path: str) -> None:
-        """Replaces an index folder."""
-        write_table(self.doc_index, f"{path}/doc_index", ["docid"])
-        write_table(self.postings, f"{path}/postings", ["term", "docid"])
-        write_table(self.lexicon, f"{path}/lexicon", ["term"])
+        """Replaces an index folder. The lexicon is made from the postings as they were written."""
         spark = self.doc_index.sparkSession
+        counted = written(self.postings, "postings")
+        write_table(self.doc_index, f"{path}/doc_index")
+        write_table(counted, f"{path}/postings", ["term", "docid"])
+        write_table(lexicon(counted, self.stats), f"{path}/lexicon", ["term"])
         row = [(self.stats.avg_len, self.stats.total_len, self.stats.num_docs, self.filtered)]
         spark.createDataFrame(row, "avg_len double, total_len double, num_docs double, filtered boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/collection_stats")
 
@@ -167,15 +190,12 @@ class Index:
 
 
 def build_index(collection: DataFrame, filtered: bool = False, stopwords=STOPWORDS) -> Index:
-    """Builds all tables of an index. The statistics are computed at once, the tables when they are read."""
-    counted = count_postings(collection, filtered, stopwords)
-    docs = document_index(collection, counted)
-    return _finish(counted, docs, filtered)
+    """Builds all tables of an index. The statistics are computed at once, the tables when they are read; ``save`` counts once for all of them."""
+    return _finish(count_postings(collection, filtered, stopwords), document_index(collection, filtered, stopwords), filtered)
 
 
-def _finish(counted: DataFrame, docs: DataFrame, filtered: bool) -> Index:
+def _finish(postings: DataFrame, docs: DataFrame, filtered: bool) -> Index:
     stats = Stats.of(docs)
-    postings = with_lengths(counted, docs)
     return Index(docs, postings, lexicon(postings, stats), stats, filtered)
 
 
@@ -183,6 +203,6 @@ def merge_indexes(first: Index, second: Index) -> Index:
     """One index of two over disjoint docids; counts, statistics and bounds are those of a single build."""
     if first.filtered != second.filtered:
         raise ValueError("both indexes must be analysed in the same way")
-    counted = first.postings.select("term", "docid", "tf").unionByName(second.postings.select("term", "docid", "tf"))
+    counted = first.postings.unionByName(second.postings)
     docs = first.doc_index.unionByName(second.doc_index)
     return _finish(counted, docs, first.filtered)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ MODES = ("and", "or")
 TIES = ("collapse", "keep")
 #: Scores that agree to so many places count as equal.
 TIE_PLACES = 9
+#: Query terms are brought to the driver and sent to the executors up to so many rows, and become a filter of the scans up to so many terms.
+MAX_SENT, MAX_FILTER = 100_000, 1_000
 
 
 def _check(mode: str, scorer: str, k: int, ties: str) -> None:
@@ -49,20 +54,49 @@ def score_sum() -> Column:
     return F.aggregate(F.array_sort(F.collect_list(F.struct("term", "w"))), F.lit(0.0), lambda acc, x: acc + x["w"])
 
 
+class Known:
+    """The known terms of queries, (qid, term, df, idf and bounds), and the postings of these terms.
+
+    Up to MAX_SENT rows the terms are on the driver: they filter both scans, so that only their row groups are read, and are
+    sent to the executors instead of shuffling postings. Beyond that all of it is joined.
+    """
+
+    def __init__(self, index: Index, terms: DataFrame) -> None:
+        rows = terms.select("qid", "term").limit(MAX_SENT + 1).collect()
+        self.few = len(rows) <= MAX_SENT
+        postings, lexicon = index.postings, index.lexicon
+        if self.few:
+            names = sorted({r["term"] for r in rows})
+            if len(names) <= MAX_FILTER:
+                held = F.col("term").isin(*names) if names else F.lit(False)
+                postings, lexicon = postings.filter(held), lexicon.filter(held)
+            terms = F.broadcast(terms.sparkSession.createDataFrame(rows, terms.select("qid", "term").schema))
+        self.terms = known_terms(terms, lexicon)
+        self.postings = postings
+
+    def matched(self) -> DataFrame:
+        """(qid, term, docid, tf, doclen, idf)"""
+        known = self.terms.select("qid", "term", "idf")
+        return self.postings.join(F.broadcast(known) if self.few else known, "term")
+
+
 def score(index: Index, terms: DataFrame, mode: str = "or", scorer: str = "bm25", k1: float = weights.K1, b: float = weights.B) -> DataFrame:
     """(qid, term) -> (qid, docid, score) of all matching documents. In mode ``and`` a document must hold all known terms of its query.
 
-    Unknown terms are dropped; a query without a known term has no rows. The few query terms are the small side of the join with the postings.
+    Unknown terms are dropped; a query without a known term has no rows.
     """
-    known = known_terms(terms, index.lexicon).select("qid", "term", "idf")
-    matched = known.join(index.postings, "term").withColumn("w", weight(scorer, index.stats.avg_len, k1, b))
-    scored = matched.groupBy("qid", "docid").agg(score_sum().alias("score"), F.count("*").alias("_n"))
+    known = Known(index, terms)
+    scored = _scored(known.matched().withColumn("w", weight(scorer, index.stats.avg_len, k1, b)))
     if mode == "and":
-        needed = known.groupBy("qid").agg(F.count("*").alias("_all"))
-        scored = scored.join(needed, "qid").filter("_n = _all")
+        needed = known.terms.groupBy("qid").agg(F.count("*").alias("_all"))
+        scored = scored.join(F.broadcast(needed) if known.few else needed, "qid").filter("_n = _all")
     return scored.select("qid", "docid", "score")
 
 
+def _scored(matched: DataFrame) -> DataFrame:
+    return matched.groupBy("qid", "docid").agg(score_sum().alias("score"), F.count("*").alias("_n"))
+
+
 def top_k(scored: DataFrame, k: int, ties: str = "collapse") -> DataFrame:
     """(docid, score) -> the k best, best first. ``collapse`` keeps one document, that with the least docid, of each score; ``keep`` keeps all, by docid."""
     if ties == "collapse":
@@ -102,24 +136,35 @@ def search_pruned(index: Index, query: str, scorer: str = "bm25", k: int = 10, t
 
     First the documents of the term with the highest bound are scored in full, and their k-th best score is the threshold. Then
     the fewest highest-bound terms are found whose absence leaves a document below the threshold; only documents with one of these are scored.
+    The postings of the query's terms are read once for both.
     """
     _check("or", scorer, k, ties)
     spark = index.postings.sparkSession
-    terms = query_terms(_one(spark, query), index.filtered, stopwords)
-    bounds = sorted(((r["ub"], r["term"]) for r in known_terms(terms, index.lexicon).select("term", F.col(f"max_{scorer}").alias("ub")).collect()), reverse=True)
+    known = Known(index, query_terms(_one(spark, query), index.filtered, stopwords))
+    found = known.terms.select("qid", "term", "idf", F.col(f"max_{scorer}").alias("ub")).collect()
+    bounds = sorted(((r["ub"], r["term"]) for r in found), reverse=True)
+    idf = F.broadcast(spark.createDataFrame([r[:3] for r in found], "qid int, term string, idf double"))
+    matched = known.postings.join(idf, "term").select("qid", "term", "docid", weight(scorer, index.stats.avg_len).alias("w"))
     if len(bounds) < 2:
-        return top_k(score(index, terms, "or", scorer), k, ties)
-
-    def among(chosen: list[str]) -> DataFrame:
-        holders = index.postings.filter(F.col("term").isin(*chosen)).select("docid").distinct()
-        return score(Index(index.doc_index, index.postings.join(holders, "docid", "left_semi"), index.lexicon, index.stats, index.filtered), terms, "or", scorer)
-
-    first = among([bounds[0][1]])
-    best = top_k(first, k, ties).agg(F.count("*").alias("n"), F.min("score").alias("least")).first()
-    if best["n"] < k:
-        return top_k(score(index, terms, "or", scorer), k, ties)
-    needed = next(n for n in range(1, len(bounds) + 1) if sum(u for u, _ in bounds[n:]) < best["least"] - 1e-6 or n == len(bounds))
-    return top_k(first if needed == 1 else among([t for _, t in bounds[:needed]]), k, ties)
+        return top_k(_scored(matched), k, ties)
+    matched = matched.persist(StorageLevel.MEMORY_AND_DISK)
+    needed = {term: n for n, (_, term) in enumerate(bounds)}
+    place = reduce(lambda out, t: out.when(F.col("term") == t, needed[t]), needed, F.when(F.lit(False), 0))
+    # The highest of a document's terms, by place among the bounds, says in which round it counts.
+    ranked = matched.groupBy("docid").agg(score_sum().alias("score"), F.min(place).alias("first"))
+    best = top_k(ranked.filter("first = 0"), k, ties).agg(F.count("*").alias("n"), F.min("score").alias("least")).first()
+    most = len(bounds)
+    if best["n"] == k:
+        most = next(n for n in range(1, len(bounds) + 1) if sum(u for u, _ in bounds[n:]) < best["least"] - 1e-6 or n == len(bounds))
+    if 1 < most < len(bounds):
+        # Only documents with an essential term; the lists of the others are read for these alone.
+        held = matched.filter(F.col("term").isin(*[t for _, t in bounds[:most]])).select("docid").distinct()
+        ranked = _scored(matched.join(held, "docid", "left_semi"))
+    elif most == 1:
+        ranked = ranked.filter("first = 0")
+    rows = top_k(ranked, k, ties).collect()  # k at most
+    matched.unpersist()
+    return spark.createDataFrame(rows, "docid long, score double").orderBy(F.desc("score"), "docid")
 
 
 def bounds_by_term(index: Index, terms: DataFrame, scorer: str = "bm25") -> DataFrame:
@@ -155,5 +200,5 @@ def evaluation_run(index: Index, queries: DataFrame, k: int = 10, scorer: str =
     """
     best = search_many(index, queries, "or", scorer, k, stopwords=stopwords).filter("rank = 1").select("qid", "docid", "score")
     all_queries = queries.select("qid").distinct().join(best, "qid", "left")
-    docid = F.coalesce("docid", F.lit(int(index.stats.num_docs) + 1)).cast("int")
+    docid = F.coalesce("docid", F.lit(int(index.stats.num_docs) + 1)).cast("long")
     return all_queries.select("qid", docid.alias("docid"), (docid - 1).cast("string").alias("docno"), F.coalesce("score", F.lit(0.0)).alias("score"))

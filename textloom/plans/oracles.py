@@ -21,7 +21,7 @@ array_to_string(kept, ' '), case when regexp_matches(t, '\s$') then ' ' else ''
 
 def tokens(filtered: bool) -> str:
     """CTEs up to toks(docid, term)."""
-    base = f"with {_SPLIT}, plain as (select cast(doc_id + 1 as integer) as docid, unnest(list_transform(kept, lambda x: lower(x))) as term from lists)"
+    base = f"with {_SPLIT}, plain as (select doc_id + 1 as docid, unnest(list_transform(kept, lambda x: lower(x))) as term from lists)"
     if not filtered:
         return f"{base}, toks as (select * from plain)"
     return (
@@ -34,11 +34,11 @@ def index(filtered: bool) -> str:
     """CTEs up to postings p, document lengths dl, statistics st and lexicon lex."""
     return f"""{tokens(filtered)},
 p0 as (select term, docid, cast(count(*) as integer) as tf from toks group by all),
-dl as (select cast(d.doc_id + 1 as integer) as docid, cast(d.doc_id as varchar) as docno, cast(coalesce(x.n, 0) as integer) as doclen
+dl as (select d.doc_id + 1 as docid, cast(d.doc_id as varchar) as docno, cast(coalesce(x.n, 0) as integer) as doclen
        from documents d left join (select docid, sum(tf) as n from p0 group by 1) x on x.docid = d.doc_id + 1),
 st as (select sum(doclen)::double / count(*) as avg_len, sum(doclen)::double as total_len, count(*)::double as num_docs from dl),
 p as (select term, docid, tf, doclen from p0 join dl using (docid)),
-l0 as (select term, cast(count(*) as integer) as df, cast(sum(tf) as bigint) as cf from p group by 1),
+l0 as (select term, count(*) as df, cast(sum(tf) as bigint) as cf from p group by 1),
 lx as (select *, ln((select num_docs from st) / df) as idf from l0),
 w as (select term, docid, tf, doclen, df, idf, 1.0::double + ln(tf) * idf as w_tfidf,
       tf / (1.2::double * (0.25::double + 0.75::double * doclen / (select avg_len from st)) + tf) * idf as w_bm25 from p join lx using (term)),
@@ -121,8 +121,8 @@ def oracles(c) -> dict[str, str]:
         s as (select qid, docid, list_sum(list(w_bm25 order by term)) as score from w join qt using (term) group by 1, 2),
         c as (select qid, round(score, 9) as score, min(docid) as docid from s group by 1, 2),
         b as (select * from (select *, row_number() over (partition by qid order by score desc, docid) as r from c) where r = 1)
-        select i.item_id as qid, cast(coalesce(docid, (select num_docs from st) + 1) as integer) as docid,
-        cast(cast(coalesce(docid, (select num_docs from st) + 1) as integer) - 1 as varchar) as docno, round(coalesce(score, 0), 6) as score from benchmark i left join b on b.qid = i.item_id"""
+        select i.item_id as qid, cast(coalesce(docid, (select num_docs from st) + 1) as bigint) as docid,
+        cast(cast(coalesce(docid, (select num_docs from st) + 1) as bigint) - 1 as varchar) as docno, round(coalesce(score, 0), 6) as score from benchmark i left join b on b.qid = i.item_id"""
     out["codec_varbyte"] = f"""{plain}, n as (select distinct docid as n from p) select n, case when n < 128 then printf('%02X', n + 128) when n < 16384 then printf('%02X%02X', n // 128, n % 128 + 128)
         else printf('%02X%02X%02X', n // 16384, n // 128 % 128, n % 128 + 128) end as code, cast(n as bigint) as decoded from n"""
     out["codec_unary"] = f"""{plain}, n as (select distinct tf as n from p) select n, case when n = 1 then '00' when n <= 8 then printf('%02X', (1 << n) - 2)

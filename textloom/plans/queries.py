@@ -33,7 +33,7 @@ def collection(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet")
+    return readers.spread(spark.read.parquet(f"{sf}/documents.parquet"))
 
 
 def _index(spark: SparkSession, sf: str, filtered: bool = False) -> ix.Index:
@@ -41,7 +41,7 @@ def _index(spark: SparkSession, sf: str, filtered: bool = False) -> ix.Index:
 
 
 def _postings(spark: SparkSession, sf: str) -> DataFrame:
-    return ix.count_postings(collection(spark, sf))
+    return ix.count_postings(collection(spark, sf)).drop("doclen")
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -103,8 +103,7 @@ def lexicon_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_index(spark: SparkSession, sf: str) -> DataFrame:
-    docs = collection(spark, sf)
-    return ix.document_index(docs, ix.count_postings(docs))
+    return ix.document_index(collection(spark, sf))
 
 
 def doc_lengths(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,12 +7,13 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: The default list: the 636 lines of the reference's list (666, docs/stopwords_eng.txt) that hold nothing but letters. Tokens hold letters only,
-#: so its empty line, those with an apostrophe or hyphen, and the two with a tab in them (keep, keeps; sure, t) never match one.
-#: Other lists are files with one word a line, read by ``load_stopwords``.
+from textloom.sources.writers import written
+
+#: The stop words that a token, which holds letters only, can equal. Other lists are files with one word a line,
+#: read by ``load_stopwords``; lines with other characters in them never match a token.
 STOPWORDS = tuple(
     """a able about above abst accordance according accordingly across act actually added adj affected affecting affects after afterwards again against ah
     all almost alone along already also although always am among amongst an and announce another any anybody anyhow anymore anyone anything anyway anyways
@@ -52,9 +53,15 @@ def load_stopwords(spark: SparkSession, path: str | None = None) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """The documents table as a collection: (docid int from 1, docno, body)."""
-    docs = spark.read.parquet(path)
-    return docs.select((F.col("doc_id") + 1).cast("int").alias("docid"), F.col("doc_id").cast("string").alias("docno"), F.col("text").alias("body"))
+    """The documents table as a collection: (docid long from 1, docno, body)."""
+    docs = spread(spark.read.parquet(path))
+    return docs.select((F.col("doc_id") + 1).cast("long").alias("docid"), F.col("doc_id").cast("string").alias("docno"), F.col("text").alias("body"))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of files, dealt out over all cores where it has fewer splits: a small file has a single row group, which one task would read alone."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def split_line(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -65,14 +72,15 @@ def split_line(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def number_lines(collection: DataFrame, order: list[str]) -> DataFrame:
-    """Adds docid 1 to N in the given order, by offsets of range partitions: no partition holds all rows."""
-    from pyspark.sql import Window
+    """Adds docid 1 to N in the given order, by offsets of range partitions: no partition holds all rows.
 
-    parted = collection.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+    The partitions are written with their numbers before these are counted, so a part that is computed again can't change them.
+    """
+    parted = written(collection.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
     counts = parted.groupBy("_part").agg(F.count("*").alias("_n"))
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return parted.withColumn("_in", inside).join(F.broadcast(offsets), "_part").withColumn("docid", (F.col("_before") + F.col("_in")).cast("int")).drop("_part", "_n", "_before", "_in")
+    return parted.withColumn("_in", inside).join(offsets, "_part").withColumn("docid", (F.col("_before") + F.col("_in")).cast("long")).drop("_part", "_n", "_before", "_in")
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:

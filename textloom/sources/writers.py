@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RUN_TAG = "STANDARD"
@@ -14,6 +17,28 @@ def write_table(table: DataFrame, path: str, sort: list[str] | None = None) -> N
     out.write.mode("overwrite").parquet(path)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as the session names it; on a local master a temporary one will do."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="textloom-")
+        context.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def written(table: DataFrame, name: str) -> DataFrame:
+    """Cuts lineage: the rows as a table of the shared folder, which goes when the application ends."""
+    spark = table.sparkSession
+    path = f"{shared_folder(spark)}/textloom-{name}-{uuid.uuid4().hex[:12]}"
+    table.write.parquet(path)
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return spark.read.schema(table.schema).parquet(path)
+
+
 def run_lines(results: DataFrame) -> DataFrame:
     """(qid, docno, score) -> (value): lines of a run file."""
     return results.select(F.concat_ws("\t", F.col("qid").cast("string"), F.lit("Q0"), F.col("docno").cast("string"), F.lit("1"), F.col("score").cast("string"), F.lit(RUN_TAG)).alias("value"))

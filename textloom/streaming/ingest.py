@@ -16,7 +16,7 @@ def start(stream: DataFrame, path: str, checkpoint: str, filtered: bool = False,
 
     def add(batch: DataFrame, number: int) -> None:
         counted = count_postings(batch, filtered, stopwords)
-        for name, table in (("counted", counted), ("docs", document_index(batch, counted))):
+        for name, table in (("counted", counted), ("docs", document_index(batch, filtered, stopwords))):
             table.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
