@@ -24,7 +24,7 @@ from .common import fresh_path, text_bytes, written
 
 SKIPPABLE = 0x184D2A5D
 DICT_BYTES, LEVEL = 32 << 10, 3
-#: An archive's dictionary is built from its first records: at most so many, each up to its first bytes.
+#: An archive's dictionary is built from pieces of its records: at most so many, each of at most so many bytes.
 TRAIN_RECORDS, TRAIN_BYTES = 256, 16 << 10
 #: A new archive is begun beyond so many uncompressed bytes.
 ARCHIVE_BYTES = 64 << 20
@@ -68,8 +68,14 @@ def decode_record(record: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def build_dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
-    """A trained dictionary, or the records' own content where there is too little to train on."""
-    samples = [r[:TRAIN_BYTES] for r in records[:TRAIN_RECORDS]]
+    """A trained dictionary, or the records' own content where there is too little to train on.
+
+    At most TRAIN_RECORDS pieces of at most TRAIN_BYTES are read, spread over all records and over their length. The bound concerns compression only.
+    """
+    # Records at even steps through the whole archive, and of each a piece at a place that moves on from record to record.
+    n = min(len(records), TRAIN_RECORDS)
+    chosen = [records[k * len(records) // n] for k in range(n)]
+    samples = [r[(at := (k * TRAIN_BYTES) % max(1, len(r) - TRAIN_BYTES + 1)) : at + TRAIN_BYTES] for k, r in enumerate(chosen)]
     total = sum(map(len, samples))
     if len(samples) >= 16 and total >= 8 * DICT_BYTES:
         try:
@@ -88,21 +94,22 @@ def _uri(path: str) -> str:
 
 
 def _write_archive(folder: str, name: str, records: list[bytes]) -> None:
-    """Writes under a name of this attempt and renames, so that a lost or repeated task leaves no half archive."""
+    """Writes an archive. Its name is of one attempt of a task, so a lost or repeated task meets no file of another; only archives that the table names are read."""
     fs, base = _filesystem(folder)
     dictionary = build_dictionary(records)
     packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=True)
     content = dictionary.as_bytes()
-    draft = f"{base}/.{name}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(draft) as out:
+    with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
         out.write(struct.pack("<II", SKIPPABLE, len(content)) + content)
         for r in records:
             out.write(packer.compress(r))
-    fs.move(draft, f"{base}/{name}")
 
 
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
-    """(page_id, url, payload binary, refers_to) -> archives in ``folder``; returns (archive, records)."""
+    """(page_id, url, payload binary, refers_to) -> archives in ``folder``; returns (archive, records), the committed ones.
+
+    A null payload counts as empty, a null url or page_id is empty in the header; no rows give no archive.
+    """
     spark = records.sparkSession
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop_path)
@@ -110,9 +117,10 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, k, held, size = TaskContext.get().partitionId(), 0, [], 0
+        attempt = uuid.uuid4().hex[:8]
 
         def close() -> pd.DataFrame:
-            name = f"part-{part:06d}-{k:05d}.warc.zst"
+            name = f"part-{part:06d}-{k:05d}-{attempt}.warc.zst"
             _write_archive(target, name, held)
             return pd.DataFrame({"archive": [name], "records": [len(held)]})
 
