@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import quality_rules as q
+from . import sharding as s
 
 _RATES = {"symbol_rate": "n_symbols", "dup_line_rate": "n_dup_lines", "repeat_rate": "n_repeat_words", "word_length": "word_chars"}
 _BIN = "case when v < 64 then v else 32 * (length(bin(v)) - 6) + (v >> (length(bin(v)) - 6)) end"
@@ -58,4 +59,20 @@ select page_id, cast(strlen(html) as bigint) as payload_bytes, digest as payload
 case when page_id < largest then largest end as refers_to from g"""
 
 
-ORACLES = {"op5_quality_rules": quality_rules(), "op3_warc": warc()}
+def sharding() -> str:
+    table = []
+    for k in range(256):  # the table of CRC-32, from its polynomial
+        for _ in range(8):
+            k = k >> 1 ^ (0xEDB88320 if k & 1 else 0)
+        table.append(k)
+    step = f"xor(([{', '.join(map(str, table))}])[(xor(a, b) & 255) + 1], a >> 8)"
+    return f"""with d as (select doc_id, coalesce(text, '') as text from documents),
+c as (select doc_id, strlen(text) + {s.ROW_BYTES} as size, cast(xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: cast('0x' || x as bigint))),
+  lambda a, b: {step}), 4294967295) as bigint) as text_crc32 from d),
+p as (select *, row_number() over o as r, sum(size) over (order by text_crc32, doc_id nulls first, size rows unbounded preceding) as upto, sum(size) over () as total from c
+  window o as (order by text_crc32, doc_id nulls first, size)),
+q as (select *, cast(least((2 * upto - size) * {s.SHARDS} // (2 * total), {s.SHARDS - 1}) as integer) as shard from p)
+select doc_id, cast(size as bigint) as size, text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by r) - 1 as slot, cast(null as integer) as grown_shard from q"""
+
+
+ORACLES = {"op4_sharding": sharding(), "op5_quality_rules": quality_rules(), "op3_warc": warc()}

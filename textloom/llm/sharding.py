@@ -47,14 +47,15 @@ def prefix_shards(rows: DataFrame, size: str, order: list[str], shards: int = SH
     inside = Window.partitionBy("_part").orderBy(*order, "_size").rowsBetween(Window.unboundedPreceding, 0)
     placed = parted.withColumn("_upto", F.sum("_size").over(inside)).join(F.broadcast(offsets), "_part")
     middle = 2 * (F.col("_bytes0") + F.col("_upto")) - F.col("_size")
-    shard = F.least(F.floor(middle.cast("decimal(38,0)") * shards / (2 * F.greatest(F.col("_all"), F.lit(1)))), F.lit(shards - 1)).cast("int")
-    sharded = placed.withColumn("shard", shard).withColumn("_in", F.row_number().over(Window.partitionBy("_part", "shard").orderBy(*order, "_size")))
+    # Whole numbers throughout: a quotient that is rounded could lie beyond a cut.
+    placed = placed.withColumn("_middle", middle.cast("decimal(30,0)") * F.lit(shards).cast("decimal(6,0)"))
+    sharded = placed.withColumn("shard", F.expr(f"cast(least(_middle div (2 * cast(greatest(_all, 1) as decimal(30,0))), {shards - 1}) as int)")).withColumn("_in", F.row_number().over(Window.partitionBy("_part", "shard").orderBy(*order, "_size")))
     # A slot counts the rows of the shard in earlier partitions, then those before it in its own.
     counts = sharded.groupBy("_part", "shard").agg(F.count("*").alias("_n"))
     first = counts.select("_part", "shard", F.coalesce(F.sum("_n").over(Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     # One row for each shard that a partition touches: partitions plus shards at most.
     return sharded.join(F.broadcast(first), ["_part", "shard"]).withColumn("slot", F.col("_before") + F.col("_in") - 1).drop(
-        "_part", "_size", "_bytes0", "_upto", "_all", "_in", "_before"
+        "_part", "_size", "_bytes0", "_upto", "_all", "_middle", "_in", "_before"
     )
 
 
