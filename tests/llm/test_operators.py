@@ -1,8 +1,10 @@
 """Operators of the training-data subpackage against brute force, round trips and the public libraries."""
 
 import base64
+import bisect
 import hashlib
 import html.parser
+import math
 import random
 import re
 import zlib
@@ -53,6 +55,14 @@ def test_pieces_equal_the_library(spark, nasty):
     assert all(r.text == texts[r.doc_id].replace("▁", " ") for r in back)
 
 
+def test_ids_outside_the_model():
+    pieces = sentence_pieces.load()
+    for bad in ([-1], [5, None], [10**6]):
+        with pytest.raises(IndexError):
+            sentence_pieces.decode_ids(bad, pieces)
+    assert sentence_pieces.decode_ids([], pieces) == ""
+
+
 def test_pieces_of_nothing(empty):
     assert sentence_pieces.encode(empty).count() == 0
 
@@ -325,6 +335,46 @@ def test_additive_model_learns_interactions():
     assert ((model.score(x[2000:]) > 0.5) == (y[2000:] == 1)).mean() > 0.9
 
 
+def test_scores_by_plain_recomputation(spark):
+    """Bins, tables and scores of the query, added up one by one."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_classifier.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in registry.QUERIES["op7_quality_classifier"](spark, SF).collect():
+        x = quality_classifier.feature_matrix([(texts[r.doc_id] or "").encode()])[0]
+        total = model.start + sum(t[bisect.bisect_right(list(e), v)] for e, t, v in zip(model.edges, model.tables, x, strict=True))
+        for (i, j), t in model.pairs.items():
+            total += t[bisect.bisect_right(list(model.coarse[i]), x[i]) * (len(model.coarse[j]) + 1) + bisect.bisect_right(list(model.coarse[j]), x[j])]
+        assert abs(r.score - 1 / (1 + math.exp(-total))) < 1e-9 and r.predicted == int(r.score >= 0.3)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_columns_with_the_names_of_helpers(spark):
+    """Filters leave any column as it is, whatever its name, and don't trip over it."""
+    names = ["_gone", "_Clean", "_score", "__clean", "__score", "id", "fp", "key", "component", "block"]
+    texts = ["".join(random.Random(k).choices("abcdefgh ", k=400)) for k in range(30)]
+    docs = documents(spark, texts).withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names if n != "key"})
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(30)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(0, " ".join(texts[3].split()))], "item_id long, text string")
+    for kept in (quality_rules.keep_good(docs), simhash.keep_one(docs), decontaminate.keep_clean(docs, items), quality_classifier.keep_good(docs, labels)):
+        assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert rows and all(r._gone == f"_gone{r.doc_id}" and r._Clean == f"_Clean{r.doc_id}" and r._score == f"_score{r.doc_id}" for r in rows)
+
+
+def test_repeated_ids_send_one_row_each_to_the_driver(spark):
+    docs = documents(spark, ["some text here"] * 50 + ["other text"], [1] * 50 + [2])
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    quality_classifier_fit = quality_classifier.AdditiveModel.fit
+    try:
+        quality_classifier.AdditiveModel.fit = lambda self, x, y: (seen.append(len(x)), quality_classifier_fit(self, x, y))[1]
+        quality_classifier.train(docs, labels)
+    finally:
+        quality_classifier.AdditiveModel.fit = quality_classifier_fit
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in (1, 2))]
+
+
 # 8
 PAGE = """<html><head><title>t</title><script>var a="</p>";</script></head><body><nav><a>Home</a></nav><div class="ad">buy</div><header>Top</header>
 <article><h1>Title &amp; more</h1><p>One <b>two</b>&nbsp; three<br>four<p>Five<div id="comments">bad</div><form>x</form></article><footer>&copy; me</footer>"""

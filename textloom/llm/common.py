@@ -16,11 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (as in tests) is a folder of our own set.
+    Only where the session names none and the master is local (as in tests) is a folder of our own set; on a cluster that is an error.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="textloom-")
         sc.setCheckpointDir(root)
     return root.rstrip("/")
@@ -44,7 +46,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes ``df`` as Parquet into the shared folder and reads it again."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._textloom_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Removes the table of a frame that ``written`` returned, when nothing will read it any more."""
+    if path := getattr(df, "_textloom_path", None):
+        remove(df.sparkSession, path)
 
 
 def unused(docs: DataFrame, name: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,8 +36,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     state = _state(now)
     while state[0]:
-        now = written(_small_star(_large_star(now)), "edges")
+        last, now = now, written(_small_star(_large_star(now)), "edges")
         before, state = state, _state(now)
+        dropped(last)  # each round stands on its own table
         if state == before:
             break
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from .common import unused
+
 SHINGLE, SIMILARITY = 5, 0.8
 #: Between shingle sets of similarity 0.8 the expected distance is 10 bits; this is over three deviations more.
 RADIUS, BLOCKS = 22, 4
@@ -183,7 +185,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The documents without a leak, with all columns; judged row by row."""
+    """The documents without a leak, with all columns as they were; judged row by row. Null and empty texts have none and stay."""
     items = docs.sparkSession.sparkContext.broadcast(load_items(benchmark))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -192,4 +194,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     clean = F.pandas_udf(run, BooleanType()).asNondeterministic()
-    return docs.withColumn("__clean", clean(F.col("text").cast("string"))).filter("__clean").drop("__clean")
+    name = unused(docs, "_clean")
+    return docs.withColumn(name, clean(F.col("text").cast("string"))).filter(F.col(name)).drop(name)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import text_bytes
+from .common import text_bytes, unused
 
 #: At most so many labelled rows are fitted on: those with the least hash of their doc_id.
 MAX_TRAIN = 20_000
@@ -154,12 +154,15 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Add
     """Fits on at most ``max_train`` labelled documents that are not held out.
 
     Labels other than 0 and 1 and rows without doc_id are left out; of several labels for one document the mean decides, and a tie counts as 0.
+    Of several texts with one doc_id the least in order of its bytes is learned from.
     Only the features of these rows, never their texts, come to the driver.
     """
     usable = labels.filter(~held_out() & F.col("quality").isin(0, 1)).select("doc_id", "quality")
     sample = usable.groupBy("doc_id").agg(F.when(F.avg("quality") > 0.5, 1).otherwise(0).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     # Bounded by max_train rows of two numbers.
     rows = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
+    # One text for each doc_id, however often it repeats, so that max_train bounds what comes to the driver.
+    rows = rows.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -191,6 +194,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier accepts, with all columns."""
-    score = scorer(train(docs, labels))
-    return docs.withColumn("__score", score(text_bytes())).filter(F.col("__score") >= THRESHOLD).drop("__score")
+    """The documents that the classifier accepts, with all columns as they were; judged row by row, by the text alone.
+
+    Null and empty texts are scored like a text without words, rows without doc_id and repeated rows like others. No documents give none.
+    """
+    score, name = scorer(train(docs, labels)), unused(docs, "_score")
+    return docs.withColumn(name, score(text_bytes())).filter(F.col(name) >= THRESHOLD).drop(name)

@@ -156,7 +156,9 @@ def expand(ids: list[int], pieces: Pieces) -> list[int]:
 
 
 def decode_ids(ids, pieces: Pieces) -> str:
-    """The text of token ids: the space that encoding put first is taken off."""
+    """The text of token ids: the space that encoding put first is taken off. An id that is null or outside the model is an IndexError."""
+    if any(i is None or i < 0 for i in ids):
+        raise IndexError("token ids are numbers from 0")
     joined = b"".join([pieces.texts[i] for i in ids])
     return (joined[1:] if joined[:1] == b" " else joined).decode("utf-8", "replace")
 
@@ -370,7 +372,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
-    """(doc_id, ids) -> (doc_id, text). Null ids give a null text, none an empty one; an id outside the model raises IndexError."""
+    """(doc_id, ids) -> (doc_id, text). Null ids give a null text, none an empty one; an id that is null or outside the model raises IndexError."""
     pieces = load(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
