@@ -1,14 +1,17 @@
 """Benchmark decontamination by fingerprints of item-sized windows.
 
-A window as long as an item can only be as similar as asked for if it shares a word shingle with it, so windows are laid wherever a
-shingle of an item occurs: every window of the item's length that holds the place. Each is given a 64-bit SimHash of its shingles. Fingerprints are
-compared by multi-index blocks: of B blocks, two fingerprints at most RADIUS bits apart have one block at most
-RADIUS // B bits apart, so a window is a candidate if some block is that near, and then if the whole
-fingerprint is. Candidates are verified by the exact weighted shingle similarity, the sum of the smaller over that of the larger counts.
+Windows are as long as an item, and each is given a 64-bit SimHash of its shingles. The fingerprints of all items of a length are held in a
+multi-index: of four blocks, two fingerprints at most RADIUS bits apart have one block within its own share of the radius (the
+shares, each plus one, add up to more than the radius), so the items that a window's blocks are near are all that can lie within it.
+Items within the radius are candidates, and verified by the exact weighted shingle similarity, the sum of the smaller over that of the larger counts.
+
+A window as similar as asked for to some item holds enough shingles of items, so only such windows are fingerprinted; which items they are
+compared with is the index's answer alone.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,8 +27,10 @@ from .common import unused
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Between shingle sets of similarity 0.8 the expected distance is 10 bits; this is over three deviations more.
-RADIUS, BLOCKS = 22, 4
-#: Benchmarks are refused beyond so many characters: their table is sent to every executor.
+RADIUS = 22
+#: Bits that may differ in each of the blocks of 16 bits; each plus one, they add up to RADIUS + 1.
+SHARES = (5, 5, 5, 4)
+#: The table of at most so many characters of items is sent to every executor; a larger benchmark is worked in parts, one after another.
 MAX_BENCHMARK_CHARS = 64 << 20
 _WORD = re.compile(r"\w+")
 
@@ -58,41 +63,63 @@ def similarity(a: Counter, b: Counter) -> float:
     return both / (a.total() + b.total() - both) if a and b else 0.0
 
 
+class MultiIndex:
+    """Fingerprints of the items of one length by their blocks; ``near`` names those within RADIUS."""
+
+    def __init__(self, items: list[int], prints: np.ndarray) -> None:
+        self.items, self.prints = np.array(items), prints
+        self.blocks = [((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)) for b in range(4)]
+        self.lists: dict[tuple[int, int], np.ndarray] = {}
+
+    def _list(self, block: int, key: int) -> np.ndarray:
+        """The items with a block near the key; made when a key is first asked for."""
+        found = self.lists.get((block, key))
+        if found is None:
+            if len(self.lists) * len(self.items) > 1 << 24:
+                self.lists.clear()
+            found = self.lists[block, key] = np.flatnonzero(np.bitwise_count(self.blocks[block] ^ np.uint64(key)) <= SHARES[block])
+        return found
+
+    def near(self, fingerprint: int) -> list[int]:
+        some = np.unique(np.concatenate([self._list(b, fingerprint >> 16 * b & 0xFFFF) for b in range(4)]))
+        return self.items[some[np.bitwise_count(self.prints[some] ^ np.uint64(fingerprint)) <= RADIUS]].tolist()
+
+
 class Items:
-    """Benchmark items: distinct texts, their shingles, fingerprints and blocks."""
+    """Benchmark items: distinct texts, their shingles, and a multi-index of fingerprints for each length."""
 
-    def __init__(self, rows: list[tuple[int, str]], radius: int = RADIUS) -> None:
+    def __init__(self, rows: list[tuple[int, str]]) -> None:
         by_words: dict[tuple, list[int]] = {}
         for item_id, text in rows:
             if words := words_of(text):
                 by_words.setdefault(tuple(words), []).append(item_id)
-        self.radius = radius
         self.ids = [sorted(v) for v in by_words.values()]
         self.sizes = [len(w) for w in by_words]
         self.counts = [Counter(shingles(list(w))) for w in by_words]
-        hashes = [np.array([_hash(s) for s in shingles(list(w))], np.uint64) for w in by_words]
-        self.prints = np.concatenate([_pack(_bits(h).sum(0)[None, :]) for h in hashes]) if hashes else np.empty(0, np.uint64)
-        #: Items by rolled hash of a shingle; the few items shorter than a shingle by length and words.
-        self.by_shingle: dict[int, list[int]] = {}
+        #: The few items shorter than a shingle by length and words, all others by length; the rolled hashes of these items' shingles.
         self.short: dict[tuple, list[int]] = {}
+        by_size: dict[int, list[int]] = {}
+        hashes: set[int] = set()
+        prints = np.zeros(len(by_words), np.uint64)
         for k, w in enumerate(by_words):
             if len(w) < SHINGLE:
                 self.short.setdefault(w, []).append(k)
             else:
-                for h in set(rolled(list(w)).tolist()):
-                    self.by_shingle.setdefault(h, []).append(k)
+                by_size.setdefault(len(w), []).append(k)
+                hashes.update(rolled(list(w)).tolist())
+                prints[k] = _pack(_bits(np.array([_hash(x) for x in shingles(list(w))], np.uint64)).sum(0)[None, :])[0]
         self.short_sizes = sorted({len(w) for w in self.short})
-        keys = np.array(sorted(self.by_shingle), np.uint64)
+        self.index = {size: MultiIndex(items, prints[items]) for size, items in sorted(by_size.items())}
+        self.hashes = np.array(sorted(hashes), np.uint64)
         self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[keys & np.uint64((1 << 20) - 1)] = True
-
-    def near(self, prints: np.ndarray, item: int) -> np.ndarray:
-        """Which fingerprints have a block near the item's, and then are near as a whole."""
-        diff = prints ^ self.prints[item]
-        width = 64 // BLOCKS
-        blocks = np.stack([np.bitwise_count((diff >> np.uint64(width * b)) & np.uint64((1 << width) - 1)) for b in range(BLOCKS)])
-        out = (blocks <= self.radius // BLOCKS).any(0)
-        out[out] = np.bitwise_count(diff[out]) <= self.radius
+        self.maybe[self.hashes & np.uint64((1 << 20) - 1)] = True
+
+    def held(self, rolls: np.ndarray) -> np.ndarray:
+        """Which of a text's shingles some item has."""
+        out = self.maybe[rolls & np.uint64((1 << 20) - 1)]
+        if out.any():
+            some = rolls[out]
+            out[out] = self.hashes[np.minimum(np.searchsorted(self.hashes, some), len(self.hashes) - 1)] == some
         return out
 
 
@@ -126,30 +153,27 @@ def leaks(text: str | None, items: Items, least: float = SIMILARITY) -> list[tup
     words = words_of(text)
     found: dict[int, tuple[float, int]] = {}
     rolls = rolled(words)
-    hits: dict[int, list[int]] = {}
-    if len(rolls):
-        for p in np.flatnonzero(items.maybe[rolls & np.uint64((1 << 20) - 1)]).tolist():
-            for k in items.by_shingle.get(int(rolls[p]), ()):
-                hits.setdefault(k, []).append(p)
-    for k, places in hits.items():
-        size = items.sizes[k]
-        need = least * items.counts[k].total()  # of the item's shingles at least so many are in the window
-        last = max(0, len(words) - size)
-        starts = sorted({s for p in places for s in range(max(0, p + SHINGLE - size), min(p, last) + 1)})
-        here = np.array(places)
-        starts = [s for s in starts if np.searchsorted(here, s + size - SHINGLE, side="right") - np.searchsorted(here, s) >= need - 1e-9]
-        if not starts:
-            continue
-        n = size - SHINGLE + 1
-        low, high = starts[0], starts[-1]
-        hashes = np.array([_hash(s) for s in shingles(words[low : high + size])], np.uint64)
-        total = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(_bits(hashes), axis=0, dtype=np.int32)])
-        at = np.array(starts) - low
-        prints = _pack(total[np.minimum(at + n, len(total) - 1)] - total[at])
-        for s in np.array(starts)[items.near(prints, k)].tolist():
-            score = similarity(Counter(shingles(words[s : s + size])), items.counts[k])
-            if score >= least and score > found.get(k, (0.0, 0))[0]:
-                found[k] = (score, s)
+    here = items.held(rolls) if len(rolls) and len(items.hashes) else np.zeros(0, bool)
+    if here.any():
+        upto = np.concatenate([[0], np.cumsum(here)])
+        votes = None
+        for size, index in items.index.items():
+            n = size - SHINGLE + 1
+            inside = min(n, len(rolls))  # of a text shorter than the item
+            need = least * (n + inside) / (1 + least)  # so many shingles the two have in common
+            starts = np.flatnonzero(upto[inside:] - upto[: len(upto) - inside] >= need - 1e-9)
+            if not len(starts):
+                continue
+            if votes is None:
+                hashes = np.array([_hash(s) for s in shingles(words)], np.uint64)
+                votes = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(_bits(hashes), axis=0, dtype=np.int32)])
+            for s, fingerprint in zip(starts.tolist(), _pack(votes[starts + inside] - votes[starts]).tolist(), strict=True):
+                near = index.near(fingerprint)
+                counts = Counter(shingles(words[s : s + size])) if near else None
+                for k in near:
+                    score = similarity(counts, items.counts[k])
+                    if score >= least and score > found.get(k, (0.0, 0))[0]:
+                        found[k] = (score, s)
     for size in items.short_sizes:
         for s in range(len(words) - size + 1):
             for k in items.short.get(tuple(words[s : s + size]), ()):
@@ -157,13 +181,13 @@ def leaks(text: str | None, items: Items, least: float = SIMILARITY) -> list[tup
     return [(i, s, items.sizes[k], score) for k, (score, s) in sorted(found.items()) for i in items.ids[k]]
 
 
-def load_items(benchmark: DataFrame) -> Items:
-    """Reads the benchmark to the driver, after its size is checked."""
-    size = benchmark.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    if size > MAX_BENCHMARK_CHARS:
-        raise ValueError(f"benchmark of {size} characters; at most {MAX_BENCHMARK_CHARS} are sent to the executors: split it")
-    rows = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text").collect()
-    return Items([tuple(r) for r in rows])
+def load_items(benchmark: DataFrame) -> Iterator[Items]:
+    """Reads the benchmark to the driver in parts of about MAX_BENCHMARK_CHARS, each no more than what one executor is sent at once."""
+    rows = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    parts = max(1, -(-(rows.agg(F.sum(F.char_length("text"))).first()[0] or 0) // MAX_BENCHMARK_CHARS))
+    for part in range(parts):
+        of_part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
+        yield Items([tuple(r) for r in of_part.orderBy("item_id", "text").collect()])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -172,8 +196,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY)
     Words are runs of letters, digits and underscores, in lower case. Items shorter than a shingle must occur whole. Equal items each get a row. Null and empty texts have no
     windows, items without words none to match; repeated documents give repeated rows. A window reaches beyond no end of its text.
     """
-    items = docs.sparkSession.sparkContext.broadcast(load_items(benchmark))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    parts = [rows.mapInPandas(_finder(docs.sparkSession.sparkContext.broadcast(items), least), LEAK) for items in load_items(benchmark)]
+    return functools.reduce(DataFrame.unionByName, parts)
 
+
+LEAK = "doc_id long, item_id long, start long, n_words long, similarity double"
+
+
+def _finder(items, least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = items.value
         for batch in batches:
@@ -181,18 +212,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY)
             out = pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "n_words", "similarity"])
             yield out.astype({"doc_id": "Int64", "item_id": "int64", "start": "int64", "n_words": "int64", "similarity": "float64"})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, item_id long, start long, n_words long, similarity double")
+    return run
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The documents without a leak, with all columns as they were; judged row by row. Null and empty texts have none and stay."""
-    items = docs.sparkSession.sparkContext.broadcast(load_items(benchmark))
+    name = unused(docs, "_clean")
+    for items in load_items(benchmark):
+        clean = _clean(docs.sparkSession.sparkContext.broadcast(items), least)
+        docs = docs.withColumn(name, clean(F.col("text").cast("string"))).filter(F.col(name)).drop(name)
+    return docs
+
 
+def _clean(items, least: float):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([not leaks(t, items.value, least) for t in texts], dtype=bool)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    clean = F.pandas_udf(run, BooleanType()).asNondeterministic()
-    name = unused(docs, "_clean")
-    return docs.withColumn(name, clean(F.col("text").cast("string"))).filter(F.col(name)).drop(name)
+    return F.pandas_udf(run, BooleanType()).asNondeterministic()
