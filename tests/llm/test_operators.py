@@ -16,7 +16,7 @@ import pytest
 import sentencepiece
 
 from textloom.llm import components, decontaminate, html_text, licences, quality_classifier, quality_rules, registry, sentence_pieces, sharding, simhash, token_counts, warc
-from textloom.llm.common import fresh_path
+from textloom.llm.common import fresh_path, written
 from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key long, key2 string"
@@ -134,6 +134,28 @@ def test_leaks(spark, nasty, empty):
     assert decontaminate.keep_clean(nasty, bench.limit(0)).count() == nasty.count()
 
 
+def test_the_index_names_all_within_the_radius(spark, monkeypatch):
+    assert sum(t + 1 for t in decontaminate.SHARES) > decontaminate.RADIUS
+    rng = np.random.default_rng(2)
+    prints = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    index, named = decontaminate.MultiIndex(list(range(300)), prints), 0
+    for k in range(300):
+        flips = sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 30)), replace=False))
+        asked = int(prints[k]) ^ flips
+        assert index.near(asked) == [i for i, p in enumerate(prints.tolist()) if (p ^ asked).bit_count() <= decontaminate.RADIUS]
+        named += sum(len(index._list(b, asked >> 16 * b & 0xFFFF)) for b in range(4))
+    assert named < 0.6 * 300 * 300
+
+
+def test_a_benchmark_in_parts_finds_the_same(spark, monkeypatch):
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    whole = sorted(map(tuple, decontaminate.find_leaks(docs, bench).collect()))
+    clean = {r.doc_id for r in decontaminate.keep_clean(docs, bench).collect()}
+    monkeypatch.setattr(decontaminate, "MAX_BENCHMARK_CHARS", bench.agg(F.sum(F.char_length("text"))).first()[0] // 3)
+    assert sorted(map(tuple, decontaminate.find_leaks(docs, bench).collect())) == whole and whole
+    assert {r.doc_id for r in decontaminate.keep_clean(docs, bench).collect()} == clean == {r.doc_id for r in docs.collect()} - {w[0] for w in whole}
+
+
 # 3
 def test_archives(spark, tmp_path):
     pages = [(k, f"http://h/{k} ü", t) for k, t in enumerate(["<p>a</p>", None, "", "<p>a</p>", "b" * 100_000, "<p>a</p>", "c\r\n\r\nd"])] + [(None, None, "<p>a</p>"), (7, None, "x")] + [(7, None, "x")]
@@ -526,6 +548,31 @@ def test_edits(spark, nasty, empty):
     assert token_counts.count_revisions(empty).count() == 0
 
 
+def test_trees_keep_their_form_over_many_edits(spark):
+    encode = token_counts.encoder().encode_ordinary
+    rng, text = random.Random(3), "some words in a text of usual length " * 60
+    c, again = token_counts.Counter(text), 0
+    for _ in range(300):
+        a = rng.randint(0, len(text))
+        b, new = min(len(text), a + rng.randint(0, 80)), " ".join(rng.choices(["word", "a", "longer-word", "\n"], k=rng.randint(0, 12)))
+        text = text[:a] + new + text[b:]
+        again += c.edit(a, b, new)
+        assert c.text == text and c.total == len(encode(text))
+    assert c.rebuilt < 30 and again < 300 * 12 * token_counts.LEAST_LEAF
+
+
+def test_edits_of_a_stored_state(spark):
+    texts = ["one two three " * 30, "", "four five"]
+    state = written(token_counts.build(documents(spark, texts)), "state")
+    edit = lambda a, b, t: F.array(F.struct(F.lit(a).alias("begin"), F.lit(b).alias("end"), F.lit(t).alias("text")))
+    once = written(token_counts.apply_edits(state.withColumn("edits", edit(0, 3, "1"))), "state")
+    twice = token_counts.apply_edits(once.withColumn("edits", edit(2, 2, " and "))).collect()
+    encode = token_counts.encoder().encode_ordinary
+    for r in twice:
+        t = "1" + texts[r.doc_id][3:]
+        assert r.text == t[:2] + " and " + t[2:] and r.n_tokens == len(encode(r.text)) and r.n_before == len(encode(t))
+
+
 # 10
 def slow_print(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))

@@ -1,16 +1,18 @@
 """Edit-aware token counts.
 
-A document is kept as leaves, runs of whole pre-tokens of about LEAF characters, under a segment tree of their token
+A document is kept as leaves, runs of whole pre-tokens of a few dozen characters up to LEAF in long texts, under a segment tree of their token
 counts. A leaf begins only where the pre-token pattern must break, right before a single space between two
 characters that aren't white space, so the tokens of a text are those of its leaves. An edit replaces the leaves that it touches,
 with a neighbour on either side as context, by freshly cut and encoded ones; the counts of all other leaves are kept, and only
-the sums above changed leaves are computed anew.
+the sums above changed leaves are computed anew. Where a region has other leaves than before, neighbours are joined or places stay
+empty, so that the tree keeps its form; it is built again only when a leaf has outgrown GROWN times its size.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import math
 import re
 from collections.abc import Iterator
 
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-token pattern of the vocabulary (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LEAF = 512
+LEAST_LEAF, LEAF = 48, 512
+GROWN = 8
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 EDITS = "array<struct<begin:long,end:long,text:string>>"
 STATE = "doc_id long, text string, starts array<long>, tree array<long>"
@@ -36,6 +39,11 @@ def encoder(path: str = VOCABULARY) -> tiktoken.Encoding:
     return tiktoken.Encoding("textloom", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def leaf_size(text: str) -> int:
+    """Characters of a leaf: a document of n has about the root of n leaves, so that an edit costs about as much."""
+    return min(LEAF, max(LEAST_LEAF, math.isqrt(len(text))))
+
+
 def cut(text: str, leaf: int = LEAF) -> list[int]:
     """Where the leaves of a text begin; a stretch without a place to cut stays one leaf, whatever its length."""
     starts, at = [0], 0
@@ -53,12 +61,13 @@ def count(texts: list[str], path: str = VOCABULARY) -> list[int]:
 class Counter:
     """A document's leaves and the segment tree over their counts."""
 
-    def __init__(self, text: str, path: str = VOCABULARY, leaf: int = LEAF, state: tuple | None = None) -> None:
-        self.text, self.path, self.leaf = text, path, leaf
+    def __init__(self, text: str, path: str = VOCABULARY, leaf: int | None = None, state: tuple | None = None) -> None:
+        self.text, self.path, self.leaf = text, path, leaf or leaf_size(text)
+        self.rebuilt = 0
         if state:
             self.starts, self.tree = list(state[0]), np.array(state[1], np.int64)
         else:
-            self.starts = cut(text, leaf)
+            self.starts = cut(text, self.leaf)
             self._build(count([text[a:b] for a, b in zip(self.starts, [*self.starts[1:], len(text)], strict=True)], path))
 
     def _build(self, counts: list[int]) -> None:
@@ -83,28 +92,39 @@ class Counter:
         """Replaces text[begin:end]; returns how many characters were encoded again. Bounds are moved into the text."""
         begin = max(0, min(begin, len(self.text)))
         end = max(begin, min(end, len(self.text)))
-        first = max(0, int(np.searchsorted(self.starts, begin, side="right")) - 2)
-        last = min(len(self.starts), int(np.searchsorted(self.starts, end, side="right")) + 1)
+        # The leaf of the edit's begin and the one before, the leaf of its end and the one after; leaves may be empty.
+        find = lambda at, side: int(np.searchsorted(self.starts, at, side=side))
+        first = max(0, find(self.starts[max(0, find(begin, "right") - 1)], "left") - 1)
+        last = find(end, "right")
+        last = find(self.starts[last], "right") if last < len(self.starts) else last
         low, high = self.starts[first], self.starts[last] if last < len(self.starts) else len(self.text)
         part = self.text[low:begin] + new + self.text[end:high]
         grown = len(new) - (end - begin)
         fresh = cut(part, self.leaf)
         kept = self.counts()
         found = count([part[a:b] for a, b in zip(fresh, [*fresh[1:], len(part)], strict=True)], self.path)
-        if not part and last < len(self.starts):  # nothing is left of the leaves: no empty leaf between others
-            fresh, found = [], []
         self.text = self.text[:low] + part + self.text[high:]
-        same = len(found) == last - first
+        places = last - first
+        if len(fresh) > places:  # neighbours share a leaf, if it isn't too long then
+            ends = [k * len(fresh) // places for k in range(places + 1)]
+            joined = [fresh[a] for a in ends[:-1]]
+            if max(b - a for a, b in zip(joined, [*joined[1:], len(part)], strict=True)) <= GROWN * self.leaf:
+                fresh, found = joined, [sum(found[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+        elif len(fresh) < places:  # empty leaves at the region's end
+            found += [0] * (places - len(fresh))
+            fresh += [len(part)] * (places - len(fresh))
         self.starts[first:last] = [low + a for a in fresh]
-        self.starts[first + len(fresh) :] = [a + grown for a in self.starts[first + len(fresh) :]]
-        if same:
+        if grown:
+            self.starts[first + len(fresh) :] = [a + grown for a in self.starts[first + len(fresh) :]]
+        if len(fresh) == places:
             width = len(self.tree) // 2
             at = np.arange(width + first, width + last)
             self.tree[at] = found
             while at[0] > 1:
                 at = np.unique(at // 2)
                 self.tree[at] = self.tree[2 * at] + self.tree[2 * at + 1]
-        else:  # the leaves have moved: sums are built again from kept and new counts, no other text is encoded
+        else:  # sums are built again from kept and new counts; no other text is encoded
+            self.rebuilt += 1
             self._build([*kept[:first], *found, *kept[last:]])
         return len(part)
 
