@@ -254,7 +254,7 @@ def _read(docs: DataFrame) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, common: np.ndarray, shingle: int, wanted=None) -> DataFrame:
-    """documents -> (key, at, id): the first ``n - ceil(0.8 n) + 1`` elements of each text, rare ones first; with ``wanted``, a broadcast array, only these keys.
+    """documents -> (key, id): the first ``n - ceil(0.8 n) + 1`` elements of each text, rare ones first; with ``wanted``, a broadcast array, only these keys.
 
     Two texts of similarity 0.8 share such an element. Texts that a task has met before aren't repeated.
     """
@@ -264,7 +264,7 @@ def _prefixes(docs: DataFrame, common: np.ndarray, shingle: int, wanted=None) ->
         met: set[int] = set()
         for whole in batches:
             for at in range(0, len(whole), 256):
-                keys, places, ids = [], [], []
+                keys, ids = [], []
                 for text in whole["text"].iloc[at : at + 256]:
                     x = _elements(_hashes(text, shingle))
                     if (k := _digest(x)) in met:
@@ -275,15 +275,13 @@ def _prefixes(docs: DataFrame, common: np.ndarray, shingle: int, wanted=None) ->
                     if len(common):
                         x = x[np.argsort(_among(x, common), kind="stable")]
                     x = x[: len(x) + (-TENTHS * len(x)) // 10 + 1]
-                    place = np.arange(len(x))
                     if keep is not None:
-                        place = np.flatnonzero(_among(x, keep))
-                        x = x[place]
-                    keys.append(x), places.append(place), ids.append(np.full(len(x), k, np.int64))
+                        x = x[_among(x, keep)]
+                    keys.append(x), ids.append(np.full(len(x), k, np.int64))
                 if keys:
-                    yield pd.DataFrame({"key": np.concatenate(keys), "at": np.concatenate(places).astype(np.int32), "id": np.concatenate(ids)})
+                    yield pd.DataFrame({"key": np.concatenate(keys), "id": np.concatenate(ids)})
 
-    return _read(docs).select("text").mapInPandas(run, "key long, at int, id long")
+    return _read(docs).select("text").mapInPandas(run, "key long, id long")
 
 
 def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -334,44 +332,55 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: i
 
 
 def _shared_keys(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
-    """(key, id, at, n, fp): prefix elements that several classes have. All elements are shuffled once, with partial aggregation; only the shared ones go on."""
+    """(key, id, n, fp): prefix elements that several classes have. All elements are shuffled once, with partial aggregation; only the shared ones go on."""
     common = _common(docs, shingle)
     every = _prefixes(docs, common, shingle)
     shared = written(every.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("key"), "shared")
     sent = _sent(shared, "key")
     rows = every.join(shared, "key", "left_semi") if sent is None else _prefixes(docs, common, shingle, sent)
-    rows = rows.groupBy("key", "id").agg(F.min("at").alias("at"))
+    rows = rows.select("key", "id").distinct()
     return written(rows.join(classes.select("id", "n", "fp"), "id"), "keys")
 
 
+def _hubs(keyed: DataFrame) -> DataFrame:
+    """(u, v): each text and one hub. The hub of a key is its text that, for its length, shares most keys with others; that of a text is the hub of most of its keys."""
+    held = keyed.groupBy("key").agg((F.count("*") - 1).alias("others"))
+    weight = keyed.join(held, "key").groupBy("id").agg((F.sum("others") / F.max("n")).alias("weight"))
+    weighed = keyed.join(weight, "id")
+    hubs = weighed.groupBy("key").agg(F.max(F.struct("weight", "id", "n", "fp")).alias("hub"))
+    ratio = (10 * F.least(F.col("n"), F.col("hub.n")) >= TENTHS * F.greatest(F.col("n"), F.col("hub.n"))) & (F.col("id") != F.col("hub.id"))
+    led = weighed.join(hubs, "key").filter(ratio & _ring(F.col("fp"), F.col("hub.fp"), WIDE)).groupBy("id", F.col("hub.id").alias("hub")).agg(F.count("*").alias("keys"))
+    return led.groupBy("id").agg(F.max(F.struct("keys", "hub")).alias("best")).select(F.col("id").alias("u"), F.col("best.hub").alias("v"))
+
+
 def similar(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """documents -> (doc_id, component_id): documents of one component can be reached from one another over pairs of similarity 0.8.
 
-    Candidates, each confirmed: fingerprints within RADIUS bits, and for each prefix shingle the largest text with the others;
-    then all pairs with a common prefix shingle that aren't of one component by now. The last misses nothing that the chains of WIDE bits
-    let pass, the first two keep it small. Texts without words are alike.
+    Candidates, each confirmed: every text with the least fingerprint that it is linked to, and with one hub, the text that shares most of the
+    prefix shingles of the keys they have in common; no more than two pairs a text. Then all pairs that aren't of one component by now and share
+    as many prefix shingles as the similarity needs. The last misses nothing that the chains of WIDE bits let pass, the first two keep it small.
+    Texts without words are alike.
     """
     marked = written(_signatures(docs, shingle), "signatures")
     classes = written(marked.groupBy("id").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("n").alias("n")), "classes")
     prints = classes.groupBy("fp").agg(F.min("id").alias("head"))
-    near = links(prints.select("fp")).join(prints.select(F.col("fp").alias("u"), F.col("head").alias("hu")), "u").join(prints.select(F.col("fp").alias("v"), F.col("head").alias("hv")), "v")
-    near = near.select(F.col("hu").alias("u"), F.col("hv").alias("v")).unionByName(classes.join(prints, "fp").select(F.col("id").alias("u"), F.col("head").alias("v")))
+    linked = connected_components(links(prints.select("fp")))
+    leads = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    near = leads.join(prints.withColumnRenamed("fp", "component"), "component").select(F.col("id").alias("u"), F.col("head").alias("v"))
     keyed = _shared_keys(docs, classes, shingle)
-    tops = keyed.groupBy("key").agg(F.max(F.struct("n", "id", "fp")).alias("top"))
-    star = keyed.join(tops, "key").filter((F.col("id") != F.col("top.id")) & (10 * F.col("n") >= TENTHS * F.col("top.n")) & _ring(F.col("fp"), F.col("top.fp"), WIDE))
-    found = _confirmed(docs, classes, near.unionByName(star.select(F.col("id").alias("u"), F.col("top.id").alias("v"))), shingle)
-    # A key whose texts are all of one component has no pair left. The smaller text of a pair shares one of its
-    # first n - ceil(8/9 n) + 1 elements, the larger one of its prefix.
+    found = _confirmed(docs, classes, near.unionByName(_hubs(keyed)), shingle)
     groups = connected_components(found).withColumnRenamed("node", "id")
     rows = keyed.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # A key whose texts are all of one component has no pair left.
     open_keys = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
     rows = written(rows.join(open_keys, "key", "left_semi"), "open")
-    x, y = (rows.select("key", *[F.col(c).alias(side + c) for c in ("id", "n", "component", "at", "fp")]) for side in "xy")
-    # The first shared key of a pair leaves room for the overlap that the similarity needs.
-    room = F.least(F.col("xn") - F.col("xat"), F.col("yn") - F.col("yat")) * (TENTHS + 10) >= TENTHS * (F.col("xn") + F.col("yn"))
-    size = ((F.col("xn") < F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("xid") != F.col("yid")))) & (10 * F.col("xn") >= TENTHS * F.col("yn"))
-    own = F.expr(f"{TENTHS + 10} * xat <= {10 - TENTHS} * xn")
-    pairs = x.filter(own).join(y, "key").filter((F.col("xcomponent") != F.col("ycomponent")) & size & room & _ring(F.col("xfp"), F.col("yfp"), WIDE))
+    x, y = (rows.select("key", *[F.col(c).alias(side + c) for c in ("id", "n", "component", "fp")]) for side in "xy")
+    size = ((F.col("xn") < F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("xid") < F.col("yid")))) & (10 * F.col("xn") >= TENTHS * F.col("yn"))
+    shared = x.join(y, "key").filter((F.col("xcomponent") != F.col("ycomponent")) & size & _ring(F.col("xfp"), F.col("yfp"), WIDE))
+    counts = shared.groupBy("xid", "yid").agg(F.count("*").alias("shared"), F.min("xn").alias("xn"), F.min("yn").alias("yn"))
+    # What two texts have in common and not in both prefixes lies beyond the prefix of the one whose prefix ends first, so the prefixes share the rest.
+    beyond = F.greatest(*[F.ceil(F.col(n) * TENTHS / 10) - 1 for n in ("xn", "yn")])
+    pairs = counts.filter((TENTHS + 10) * (F.col("shared") + beyond) >= TENTHS * (F.col("xn") + F.col("yn")))
     found = found.unionByName(_confirmed(docs, classes, pairs.select(F.col("xid").alias("u"), F.col("yid").alias("v")), shingle))
     labelled = classes.select("id", "least").join(connected_components(found).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
