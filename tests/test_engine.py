@@ -234,3 +234,13 @@ def test_skip_blocks_of_a_long_list(spark, monkeypatch):
     got = sorted((r.block_no, r.end_docid, r.n_postings) for r in ix.skip_blocks(table).collect())
     ids = [k * 5 for k in range(1, 200)]
     assert got == [(b, chunk[-1], len(chunk)) for b, chunk in enumerate(ids[i : i + 14] for i in range(0, 199, 14))]
+
+
+def test_stems_against_the_published_rules(spark):
+    import porter
+
+    words = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.explode(text.tokens("text")).alias("term")).distinct()
+    more = "relational conditional rational valenci hesitanci digitizer conformabli radicalli differentli vileli analogousli vietnamization predication operator feudalism decisiveness hopefulness callousness formaliti sensitiviti sensibiliti triplicate formative formalize electriciti electrical hopeful goodness revival allowance inference airliner gyroscopic adjustable defensible irritant replacement adjustment dependent adoption homologou communism activate angulariti homologous effective bowdlerize probate rate cease controll roll yellow yes syzygy flying dying agreed feed caresses ponies ties cats falling hissing fizzed failing filing happy sky conflated troubled sized tanned analogies archaeology".split()
+    rows_ = stem_words(words.union(spark.createDataFrame([(w,) for w in more], "term string")).distinct()).collect()
+    wrong = [(r.term, r.stem, porter.stem(r.term)) for r in rows_ if len(r.term) > 3 and r.stem != porter.stem(r.term)]
+    assert len(rows_) > 10_000 and not wrong, wrong[:20]

@@ -54,6 +54,35 @@ def score_sum() -> Column:
     return F.aggregate(F.array_sort(F.collect_list(F.struct("term", "w"))), F.lit(0.0), lambda acc, x: acc + x["w"])
 
 
+class Searcher:
+    """A stored index made ready for many single queries: the lexicon's rows of terms that were asked for are kept on the driver, up to ``keep`` terms.
+
+    A query of terms that were asked for before reads postings alone.
+    """
+
+    def __init__(self, index: Index, keep: int = 100_000) -> None:
+        self.index, self.keep = index, keep
+        self.seen: dict[str, tuple | None] = {}
+        self.schema = index.lexicon.schema
+
+    def _lexicon(self, terms: list[str]) -> DataFrame:
+        if new := [t for t in terms if t not in self.seen]:
+            if len(self.seen) + len(new) > self.keep:
+                self.seen.clear()
+                new = terms
+            self.seen |= dict.fromkeys(new)
+            self.seen |= {r["term"]: tuple(r) for r in self.index.lexicon.filter(F.col("term").isin(*new)).collect()}
+        return self.index.postings.sparkSession.createDataFrame([r for t in terms if (r := self.seen[t])], self.schema)
+
+    def search(self, query: str, mode: str = "or", scorer: str = "bm25", k: int = 10, ties: str = "collapse", query_filtered: bool | None = None, stopwords=STOPWORDS) -> DataFrame:
+        """The rows of ``search``."""
+        _check(mode, scorer, k, ties)
+        index, spark = self.index, self.index.postings.sparkSession
+        terms = [r["term"] for r in query_terms(_one(spark, query), index.filtered if query_filtered is None else query_filtered, stopwords).collect()]
+        known = Index(index.doc_index, index.postings, self._lexicon(terms), index.stats, index.filtered)
+        return top_k(score(known, spark.createDataFrame([(0, t) for t in terms], "qid int, term string"), mode, scorer), k, ties)
+
+
 class Known:
     """The known terms of queries, (qid, term, df, idf and bounds), and the postings of these terms.
 

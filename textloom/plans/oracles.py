@@ -1,4 +1,8 @@
-"""The queries' results as DuckDB SQL over the same tables, written independently of the DataFrame plans."""
+"""The queries' results as DuckDB SQL over the same tables.
+
+Written independently of the DataFrame plans, but for stems and stop words: the stemmer's steps are generated for both engines from the same rules
+(tests hold them against plain published rules), and both read the same list of stop words.
+"""
 
 from __future__ import annotations
 
