@@ -18,7 +18,7 @@ def test_index_search_and_run(spark, tmp_path, capsys):
         said = []
         cli.answer(ix.Index.load(spark, str(tmp_path / "index")), ["and, tfidf, 5, red fox\n", "dog\n", "xor, bm25, 3, red\n", "unheard\n", "\n", "red\n"], said.append)
         docnos = [x.split("\t")[0] for x in said if "\t" in x]
-        assert sorted(docnos) == ["7", "8", "8"] and sum("documents," in x for x in said) == 3 and any(x.startswith("not a query") for x in said)
+        assert sorted(docnos) == ["7", "8"] and sum("documents," in x for x in said) == 3 and any(x.startswith("not a query") for x in said)
     (tmp_path / "q.tsv").write_text("1\tred fox\n2\tnothing\n")
     cli.main(["run", str(tmp_path / "index"), str(tmp_path / "q.tsv"), str(tmp_path / "out")])
     assert len(spark.read.text(str(tmp_path / "out")).collect()) == 2
