@@ -156,11 +156,14 @@ def leaks(text: str | None, items: Items, least: float = SIMILARITY) -> list[tup
     here = items.held(rolls) if len(rolls) and len(items.hashes) else np.zeros(0, bool)
     if here.any():
         upto = np.concatenate([[0], np.cumsum(here)])
+        total = int(upto[-1])
         votes = None
         for size, index in items.index.items():
             n = size - SHINGLE + 1
             inside = min(n, len(rolls))  # of a text shorter than the item
             need = least * (n + inside) / (1 + least)  # so many shingles the two have in common
+            if total < need - 1e-9:
+                continue
             starts = np.flatnonzero(upto[inside:] - upto[: len(upto) - inside] >= need - 1e-9)
             if not len(starts):
                 continue
