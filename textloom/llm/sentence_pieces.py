@@ -204,6 +204,8 @@ def _units(docs: DataFrame, pieces: Pieces) -> DataFrame:
             units: set[str] = set()
             while words:
                 units.update(find(SPACE + words.pop()))
+            if pieces.ordered:  # a unit that is a piece comes out whole: the commonest units of all blocks need no lattice
+                units.difference_update(pieces.ids)
             return pa.RecordBatch.from_arrays([pa.array([now] * len(units), pa.int64()), pa.array(list(units), pa.string())], ["block", "unit"])
 
         for block, _, texts in _blocks(batches):
@@ -222,7 +224,7 @@ def _packed(docs: DataFrame) -> DataFrame:
     """(block, blob): the documents of a block, compressed for the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=3)
+        packer = zstandard.ZstdCompressor(level=6)
         for block, doc_ids, texts in _blocks(batches):
             blob = packer.compress(pickle.dumps((doc_ids, texts), protocol=5))
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([blob], pa.binary())], ["block", "blob"])
@@ -309,6 +311,8 @@ class _Tokens(dict):
     def _encoded(self, unit: str) -> bytes:
         """The unit's ids. Pieces that are the unit's own slices decode to it; all others are decoded to see whether they do."""
         p, n = self.pieces, len(unit)
+        if p.ordered and unit in self.packed:
+            return self.packed[unit]
         raw = unit.encode("utf-8", "surrogatepass")
         h = xxhash.xxh64_intdigest(raw, 42)
         have = self.cuts.get(h - (1 << 64) if h >> 63 else h)
