@@ -143,7 +143,7 @@ def test_the_index_names_all_within_the_radius(spark, monkeypatch):
         flips = sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 30)), replace=False))
         asked = int(prints[k]) ^ flips
         assert index.near(asked) == [i for i, p in enumerate(prints.tolist()) if (p ^ asked).bit_count() <= decontaminate.RADIUS]
-        named += sum(len(index._list(b, asked >> 16 * b & 0xFFFF)) for b in range(4))
+        named += sum(int(index._list(b, asked >> 16 * b & 0xFFFF).sum()) for b in range(4))
     assert named < 0.6 * 300 * 300
 
 

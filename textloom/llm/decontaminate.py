@@ -72,16 +72,17 @@ class MultiIndex:
         self.lists: dict[tuple[int, int], np.ndarray] = {}
 
     def _list(self, block: int, key: int) -> np.ndarray:
-        """The items with a block near the key; made when a key is first asked for."""
+        """Which items have a block near the key; made when a key is first asked for."""
         found = self.lists.get((block, key))
         if found is None:
             if len(self.lists) * len(self.items) > 1 << 24:
                 self.lists.clear()
-            found = self.lists[block, key] = np.flatnonzero(np.bitwise_count(self.blocks[block] ^ np.uint64(key)) <= SHARES[block])
+            found = self.lists[block, key] = np.bitwise_count(self.blocks[block] ^ np.uint64(key)) <= SHARES[block]
         return found
 
     def near(self, fingerprint: int) -> list[int]:
-        some = np.unique(np.concatenate([self._list(b, fingerprint >> 16 * b & 0xFFFF) for b in range(4)]))
+        first, *others = [self._list(b, fingerprint >> 16 * b & 0xFFFF) for b in range(4)]
+        some = np.flatnonzero(first | others[0] | others[1] | others[2])
         return self.items[some[np.bitwise_count(self.prints[some] ^ np.uint64(fingerprint)) <= RADIUS]].tolist()
 
 
@@ -123,16 +124,17 @@ class Items:
         return out
 
 
-_WORD_HASHES: dict[str, int] = {}
+class _WordHashes(dict):
+    """Hashes of the words met so far, forgotten when they are many."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = h = _hash(word)
+        return h
 
-def _word_hash(w: str) -> int:
-    h = _WORD_HASHES.get(w)
-    if h is None:
-        if len(_WORD_HASHES) > 200_000:
-            _WORD_HASHES.clear()
-        h = _WORD_HASHES[w] = _hash(w)
-    return h
+
+_WORD_HASHES = _WordHashes()
 
 
 def rolled(words: list[str]) -> np.ndarray:
@@ -140,7 +142,7 @@ def rolled(words: list[str]) -> np.ndarray:
     n = len(words) - SHINGLE + 1
     if n < 1:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_word_hash, words), np.uint64, len(words))
+    h = np.fromiter(map(_WORD_HASHES.__getitem__, words), np.uint64, len(words))
     out = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
         for j in range(SHINGLE):
