@@ -592,7 +592,9 @@ def test_fingerprints():
         assert simhash.fingerprint(text.encode()) == slow_print(text)
 
 
-def test_links_are_those_of_all_pairs(spark):
+@pytest.mark.parametrize("split", [simhash.SPLIT, 300])
+def test_links_are_those_of_all_pairs(spark, monkeypatch, split):
+    monkeypatch.setattr(simhash, "SPLIT", split)
     rng = np.random.default_rng(11)
     base = rng.integers(0, 2**63, 6, dtype=np.uint64)
     prints = {0}
@@ -624,6 +626,28 @@ def test_links_are_those_of_all_pairs(spark):
     assert sorted(map(sorted, by_true.values())) == sorted(map(sorted, by_got.values()))
 
 
+def test_very_long_texts(spark):
+    """Whole texts: what counts stands at the end of 120,000 words."""
+    rng = random.Random(21)
+    draw = lambda n: ["".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(n)]
+    item, words = draw(40), draw(120_000)
+    long = " ".join([*words, *item])
+    docs = documents(spark, [long, " ".join(draw(60)), long + " end"])
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    found = decontaminate.find_leaks(docs, items).collect()
+    assert sorted((r.doc_id, r.start, r.similarity) for r in found) == [(0, 120_000, 1.0), (2, 120_000, 1.0)]
+    counts = quality_rules.judge(docs).toPandas().set_index("doc_id")
+    assert counts.n_words[0] == 120_040 and counts.word_chars[0] == sum(map(len, words + item))
+    near = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert near[0][1] == near[2][1] == 0 and int(near[0][0], 16) == slow_print(long)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [0, 1]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(3)], "doc_id long, quality int, toxic int")
+    assert all(0 <= r.score <= 1 for r in quality_classifier.classify(docs, labels).collect())
+    page = f"<nav>home</nav><article>{''.join(f'<p>{x}</p>' for x in (long[k : k + 500].strip() for k in range(0, len(long), 500)))}</article>"
+    got = html_text.extract(spark.createDataFrame([(1, "http://h/", page)], "page_id long, url string, html string")).first()
+    assert got.text.replace("\n", "") == "".join(long[k : k + 500].strip() for k in range(0, len(long), 500)) and got.n_chars == len(got.text)
+
+
 def test_near_duplicates(spark, nasty, empty):
     words = [f"word{k}" for k in range(400)]
     texts = [" ".join(words), " ".join(words), " ".join([*words[:399], "other"]), " ".join(reversed(words)), "", None, "  "]

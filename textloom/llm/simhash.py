@@ -39,6 +39,8 @@ MAX_SENT = 8_000_000
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: A key held by more fingerprints than this is worked in blocks of BLOCK that return only a spanning forest.
 HOT_KEY, BLOCK = 32, 256
+#: A key held by more than this is split by the third segment first.
+SPLIT = 20_000
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _CHUNK = 1 << 16
 
@@ -126,10 +128,33 @@ def _ring(a, b, radius: int):
     return (F.bit_count(diff) <= radius) & start
 
 
+def _deeper(rows: DataFrame) -> DataFrame:
+    """(key, fp, probe) of keys held by very many -> the same with the third segment in the key.
+
+    The chain of three may differ in two bits: a fingerprint that owns the key visits the third segments within two bits of its own, one that
+    visits the key with a bit changed those within one.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            key, signed, probe = batch["key"].to_numpy(np.int64), batch["fp"].to_numpy(np.int64), batch["probe"].to_numpy(bool)
+            third = (key >> 26) + 2
+            low = np.array([s for s, _ in SEGMENTS])[third % 5]
+            width = np.array([w for _, w in SEGMENTS])[third % 5]
+            seg = (signed.view(np.uint64) >> low.astype(np.uint64)).astype(np.int64) & ((1 << width) - 1)
+            flips = [0, *(1 << a for a in range(13)), *(1 << a | 1 << b for a in range(13) for b in range(a))]
+            for flip in flips:
+                ok = (flip < (1 << width)) & (~probe | (flip.bit_count() < 2))
+                if ok.any():
+                    yield pd.DataFrame({"key": (key[ok] << 13) | (seg[ok] ^ flip), "fp": signed[ok], "probe": probe[ok] | (flip > 0)})
+
+    return rows.mapInPandas(run, "key long, fp long, probe boolean")
+
+
 def _within_budget(key, a, b):
-    """The chains of three and four segments, then the whole distance."""
+    """The chains of three and four segments, then the whole distance. ``key`` begins with the number of the chain's first segment."""
     diff = a.bitwiseXOR(b)
-    start = F.shiftright(key, 26).cast("int") + 1
+    start = key.cast("int") + 1
     test = F.lit(True)
     for length in (3, 4):
         masks = F.array(*[F.lit(m).cast("long") for m in _chain_masks(length)])
@@ -168,23 +193,31 @@ def links(fps: DataFrame) -> DataFrame:
     """(fp), distinct -> (u, v): links of at most RADIUS bits that join the same fingerprints as all links do.
 
     Fingerprints that share a key with few others give every link; those of a hot key, split into pairs
-    of blocks, give a spanning forest for each pair, so neither one task nor the output grows with the square of a group.
+    of blocks, give a spanning forest for each pair, so neither one task nor the output grows with the square of a group. The keys of
+    very many are split by the third segment of the chain first, so that the number of such pairs doesn't either.
     """
-    rows = _keys(fps)
+    return _paired(written(_keys(fps), "keys"), 26)
+
+
+def _paired(rows: DataFrame, shift: int) -> DataFrame:
+    """(key, fp, probe) -> (u, v); the number of a key's first segment stands ``shift`` bits up."""
     own = rows.filter("not probe").select("key", "fp")
     # Bits of a probe beyond the block size spread over the blocks of the owners.
     counts = rows.groupBy("key").agg(F.count(F.when(~F.col("probe"), 1)).alias("n_own"), F.count("*").alias("n"))
     hot = written(counts.filter(f"n_own > {HOT_KEY} or (n_own > 0 and n > {8 * HOT_KEY})").select("key", "n"), "hot")
     left = own.join(hot.select("key"), "key", "left_anti").select("key", F.col("fp").alias("u"))
     right = rows.select("key", F.col("fp").alias("v"), "probe")
-    cold = left.join(right, "key").filter((F.col("probe") | (F.col("u") < F.col("v"))) & _within_budget(F.col("key"), F.col("u"), F.col("v")))
+    cold = left.join(right, "key").filter((F.col("probe") | (F.col("u") < F.col("v"))) & _within_budget(F.shiftright("key", shift), F.col("u"), F.col("v"))).select("u", "v")
+    deep = hot.filter(F.col("n") > SPLIT).select("key") if shift == 26 else None
+    if deep is not None and not deep.isEmpty():
+        cold = cold.unionByName(_paired(written(_deeper(rows.join(deep, "key", "left_semi")), "keys"), 39))
+        hot = hot.filter(F.col("n") <= SPLIT)
     blocked = rows.join(hot, "key").withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
     paired = (
         blocked.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         .select("key", "fp", "probe", "blk", F.least("blk", "o").alias("a"), F.greatest("blk", "o").alias("b"))
     )
-    warm = paired.groupBy("key", "a", "b").applyInPandas(_forest, "u long, v long")
-    return cold.select("u", "v").unionByName(warm)
+    return cold.unionByName(paired.groupBy("key", "a", "b").applyInPandas(_forest, "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
