@@ -176,6 +176,9 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sorted((r.docid, r.docno) for r in numbered.collect()) == [(1, "7"), (2, "8"), (3, "9")]
     writers.write_tsv(docs(spark).select("docno", "body"), str(tmp_path / "out"))
     assert readers.read_tsv(spark, str(tmp_path / "out")).count() == 6
+    names = writers.write_zip(docs(spark).select("docno", "body").repartition(3), str(tmp_path / "zips"))
+    back = readers.read_zip(spark, str(tmp_path / "zips" / "*.zip"))
+    assert names and sorted((r.docno, r.body) for r in back.collect()) == sorted((str(i), b) for i, b in enumerate(BODIES))
     (tmp_path / "stop.txt").write_text("the\n\nof\nthe\n")
     assert sorted(r.word for r in readers.load_stopwords(spark, str(tmp_path / "stop.txt")).collect()) == ["of", "the"]
 

@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +57,30 @@ def write_tsv(collection: DataFrame, path: str, compression: str = "gzip") -> No
     """(docno, body) -> delimited text; tabs and line ends in a body become spaces."""
     body = F.regexp_replace("body", "[\\t\\r\\n]", " ")
     collection.select(F.concat_ws("\t", "docno", body).alias("value")).write.mode("overwrite").option("compression", compression).text(path)
+
+
+def write_zip(collection: DataFrame, path: str, entry: str = "collection.tsv") -> list[str]:
+    """(docno, body) -> a zip archive of delimited text for each partition, streamed line by line; returns the archives' names in ``path``, a folder that executors share.
+
+    Names are of one attempt of a task; what a lost attempt has left isn't among them. Partitions without rows give no archive.
+    """
+    spark = collection.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+        name, lines = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}.zip", 0
+        first = next((b for b in batches if len(b)), None)
+        if first is None:
+            return
+        with fs.open_output_stream(f"{base}/{name}", compression=None) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive, archive.open(entry, "w", force_zip64=True) as member:
+            for batch in (b for some in ([first], batches) for b in some):
+                for line in batch["value"]:
+                    member.write(f"{line}\n".encode())
+                lines += len(batch)
+        yield pd.DataFrame({"archive": [name], "lines": [lines]})
+
+    body = F.regexp_replace("body", "[\\t\\r\\n]", " ")
+    rows = collection.select(F.concat_ws("\t", "docno", body).alias("value")).mapInPandas(pack, "archive string, lines long")
+    return sorted(r["archive"] for r in rows.collect())  # one row a partition
