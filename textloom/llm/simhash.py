@@ -35,6 +35,8 @@ SAMPLE, RARE, MAX_COMMON = 16, 3, 500_000
 WIDE = 26
 #: Prefix shingles that several texts have, and documents to confirm, are sent to the executors up to so many numbers, else joined.
 MAX_SENT = 8_000_000
+#: Pairs that a worker confirms at once.
+PAIR_ROWS = 128
 #: Low bit and width of the five segments.
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: A key held by more fingerprints than this is worked in blocks of BLOCK that return only a spanning forest.
@@ -273,10 +275,12 @@ def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
     """documents -> (doc_id, id, fp, n): id stands for the shingle counts, n is their sum."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def of(text: bytes | None) -> tuple[int, int, int]:
+            hashes = _hashes(text, shingle)
+            return _digest(_elements(hashes)), _signed(_majority(hashes)), len(hashes)
+
         for batch in batches:
-            hashes = [_hashes(text, shingle) for text in batch["text"]]
-            rows = [(_digest(_elements(h)), _signed(_majority(h)), len(h)) for h in hashes]
-            ids, fps, sizes = np.array(rows, np.int64).reshape(-1, 3).T
+            ids, fps, sizes = np.array([of(text) for text in batch["text"]], np.int64).reshape(-1, 3).T
             yield pd.DataFrame({"doc_id": batch["doc_id"], "id": ids, "fp": fps, "n": sizes})
 
     return _read(docs).mapInPandas(run, "doc_id long, id long, fp long, n long")
@@ -302,7 +306,7 @@ def _prefixes(docs: DataFrame, common: np.ndarray, shingle: int, wanted=None) ->
                     x = _elements(_hashes(text, shingle))
                     if (k := _digest(x)) in met:
                         continue
-                    if len(met) > 500_000:
+                    if len(met) > 100_000:
                         met.clear()
                     met.add(k)
                     if len(common):
@@ -345,8 +349,9 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: i
         for batch in batches:
             if sent is not None:
                 batch = batch[_among(batch["doc_id"].to_numpy(np.int64), sent.value)]
-            found = [_elements(_hashes(t, shingle)) for t in batch["text"]]
-            yield pd.DataFrame({"id": np.array([_digest(x) for x in found], np.int64), "els": [x.tobytes() for x in found]})
+            for at in range(0, len(batch), 256):
+                found = [_elements(_hashes(t, shingle)) for t in batch["text"].iloc[at : at + 256]]
+                yield pd.DataFrame({"id": np.array([_digest(x) for x in found], np.int64), "els": [x.tobytes() for x in found]})
 
     # Of rows with an asked doc_id those with another text bring an id that no pair has, or one whose elements are the same.
     sets = written(rows.mapInPandas(run, "id long, els binary").groupBy("id").agg(F.first("els").alias("els")), "sets")
@@ -361,7 +366,15 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: i
             yield batch.loc[np.array(good, bool), ["u", "v"]]
 
     left = pairs.join(sets.select(F.col("id").alias("u"), F.col("els").alias("a")), "u")
-    return written(left.join(sets.select(F.col("id").alias("v"), F.col("els").alias("b")), "v").select("u", "v", "a", "b").mapInPandas(test, "u long, v long"), "links")
+    tested = left.join(sets.select(F.col("id").alias("v"), F.col("els").alias("b")), "v").select("u", "v", "a", "b").mapInPandas(test, "u long, v long")
+    # Two whole texts' elements a row: few rows at once, so that pairs of very long texts fit a worker's memory.
+    conf, size = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(size)
+    conf.set(size, str(PAIR_ROWS))
+    try:
+        return written(tested, "links")
+    finally:
+        conf.set(size, before)
 
 
 def _shared_keys(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
