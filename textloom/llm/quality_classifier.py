@@ -154,21 +154,21 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Add
     """Fits on at most ``max_train`` labelled documents that are not held out.
 
     Labels other than 0 and 1 and rows without doc_id are left out; of several labels for one document the mean decides, and a tie counts as 0.
-    Of several texts with one doc_id the least in order of its bytes is learned from.
+    Of several texts with one doc_id that with the least features is learned from.
     Only the features of these rows, never their texts, come to the driver.
     """
     usable = labels.filter(~held_out() & F.col("quality").isin(0, 1)).select("doc_id", "quality")
     sample = usable.groupBy("doc_id").agg(F.when(F.avg("quality") > 0.5, 1).otherwise(0).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     # Bounded by max_train rows of two numbers.
     rows = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
-    # One text for each doc_id, however often it repeats, so that max_train bounds what comes to the driver.
-    rows = rows.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "x": list(feature_matrix(batch["text"]))})
 
-    found = rows.mapInPandas(run, "doc_id long, label int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    made = rows.mapInPandas(run, "doc_id long, label int, x array<double>")
+    # One row for each doc_id, however often it repeats, so that max_train bounds what comes to the driver.
+    found = made.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("x").alias("x")).toPandas().sort_values("doc_id", kind="stable")
     x = np.array(found["x"].tolist(), float).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T, found["doc_id"].to_numpy()))  # the same model whatever order the rows came in
     return AdditiveModel().fit(x[order], found["label"].to_numpy(float)[order])
