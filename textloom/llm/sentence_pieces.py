@@ -160,8 +160,12 @@ def decode_ids(ids, pieces: Pieces) -> str:
     """The text of token ids: the space that encoding put first is taken off. An id that is null or outside the model is an IndexError."""
     if any(i is None or i < 0 for i in ids):
         raise IndexError("token ids are numbers from 0")
-    joined = b"".join([pieces.texts[i] for i in ids])
-    return (joined[1:] if joined[:1] == b" " else joined).decode("utf-8", "replace")
+    return decode_bytes(ids, pieces).decode("utf-8", "replace")
+
+
+def decode_bytes(ids, pieces: Pieces) -> bytes:
+    joined = b"".join(map(pieces.texts.__getitem__, ids))
+    return joined[1:] if joined[:1] == b" " else joined
 
 
 def _marked(text: str) -> str:
@@ -290,15 +294,15 @@ def viterbi_fold(unit: str = "unit", edges: str = "edges") -> Column:
 
 
 class _Tokens(dict):
-    """Token ids of words, as bytes of 32-bit numbers, from the folded boundaries of their units; ``bad``: words that don't decode to themselves."""
+    """Token ids of words, as bytes of 32-bit numbers, from the folded boundaries of their units."""
 
     def __init__(self, hashes: np.ndarray, cuts: np.ndarray, pieces: Pieces) -> None:
         super().__init__()
         order = np.argsort(np.asarray(hashes, np.int64), kind="stable")
         # Sorted arrays: a dict of a block's numbers would take ten times the memory.
         self.hashes, self.cuts = (array("q", np.asarray(x, np.int64)[order].tobytes()) for x in (hashes, cuts))
-        self.pieces, self.bad = pieces, set()
-        self.find, self.units, self.slices, self.bad_units = re.compile(pieces.unit).findall, {}, {}, set()
+        self.pieces = pieces
+        self.find, self.units, self.slices = re.compile(pieces.unit).findall, {}, {}
         self.packed = {p: array("i", [i]).tobytes() for p, i in pieces.ids.items()}
 
     def __missing__(self, word: str) -> bytes:
@@ -307,8 +311,6 @@ class _Tokens(dict):
             out = known.get(units[0]) or self._encoded(units[0])
         else:
             out = b"".join([known.get(u) or known.setdefault(u, self._encoded(u)) for u in units])
-        if self.bad_units and not self.bad_units.isdisjoint(units):
-            self.bad.add(word)
         self[word] = out
         return out
 
@@ -336,8 +338,6 @@ class _Tokens(dict):
         if ids is None or b"".join([p.texts[i] for i in ids]) != wanted:
             # A long unit, one that another partitioning of the rows put into another block, or equal hashes of two units.
             ids = encode_unit(unit, p)
-        if b"".join([p.texts[i] for i in ids]) != wanted:
-            self.bad_units.add(unit)
         return array("i", ids).tobytes()
 
     def _slices(self, have: int):
@@ -350,7 +350,7 @@ class _Tokens(dict):
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """documents -> (doc_id, ids array<int>, n_tokens, round_trip), one row for each row.
 
-    round_trip: decoding the ids gives the text again, where the escape character U+2581 counts as the space that it stands for.
+    round_trip: decoding the document's ids gives its text again, where the escape character U+2581 counts as the space that it stands for.
     Null and empty texts have no ids. doc_id may be null or repeat. Texts of any length are encoded whole.
     """
     pieces = load(model)
@@ -373,7 +373,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 doc_ids.append(doc_id)
                 values.append(out)
                 sizes.append(len(out) // 4)
-                same.append(not tokens.bad or tokens.bad.isdisjoint(words))
+                same.append(decode_bytes(np.frombuffer(out, np.int32).tolist(), pieces) == (text or "").replace(SPACE, " ").encode("utf-8", "surrogatepass"))
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(values), np.int32)))
         return pa.Table.from_arrays([pa.array(doc_ids, pa.int64()), ids, pa.array(sizes, pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_tokens", "round_trip"])
