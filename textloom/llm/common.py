@@ -71,6 +71,18 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(gone.select(F.col("doc_id").alias(key)), F.col("doc_id") == F.col(key), "left_anti")
 
 
+#: Rows of whole texts that a Python worker is sent at once.
+TEXT_ROWS = 1024
+
+
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, after its session is told to send Python workers TEXT_ROWS rows at once at most: whole texts are long."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= TEXT_ROWS:
+        conf.set(name, str(TEXT_ROWS))
+    return docs
+
+
 def text_bytes(col: str = "text"):
     """The column as UTF-8 bytes, which Python receives without a decode."""
     return F.col(col).cast("binary")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import unused
+from .common import in_small_batches, unused
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Between shingle sets of similarity 0.8 the expected distance is 10 bits; this is over three deviations more.
@@ -201,7 +201,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY)
     Words are runs of letters, digits and underscores, in lower case. Items shorter than a shingle must occur whole. Equal items each get a row. Null and empty texts have no
     windows, items without words none to match; repeated documents give repeated rows. A window reaches beyond no end of its text.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     parts = [rows.mapInPandas(_finder(docs.sparkSession.sparkContext.broadcast(items), least), LEAK) for items in load_items(benchmark)]
     return functools.reduce(DataFrame.unionByName, parts)
 
@@ -222,7 +222,7 @@ def _finder(items, least: float):
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The documents without a leak, with all columns as they were; judged row by row. Null and empty texts have none and stay."""
-    name = unused(docs, "_clean")
+    docs, name = in_small_batches(docs), unused(docs, "_clean")
     for items in load_items(benchmark):
         clean = _clean(docs.sparkSession.sparkContext.broadcast(items), least)
         docs = docs.withColumn(name, clean(F.col("text").cast("string"))).filter(F.col(name)).drop(name)

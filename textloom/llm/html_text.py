@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import in_small_batches, written
 
 #: Tokens of the least repeated substring that counts as boilerplate.
 RUN = 8
@@ -285,7 +285,7 @@ def _lines(tokens: list[str], of: list[int], kept: np.ndarray) -> dict[int, str]
 
 
 def _read(pages: DataFrame) -> DataFrame:
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+    return in_small_batches(pages).select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
 
 
 def common_blocks(pages: DataFrame, run: int = RUN) -> tuple[DataFrame, DataFrame]:

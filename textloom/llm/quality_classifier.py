@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import text_bytes, unused
+from .common import in_small_batches, text_bytes, unused
 
 #: At most so many labelled rows are fitted on: those with the least hash of their doc_id.
 MAX_TRAIN = 20_000
@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Add
     usable = labels.filter(~held_out() & F.col("quality").isin(0, 1)).select("doc_id", "quality")
     sample = usable.groupBy("doc_id").agg(F.when(F.avg("quality") > 0.5, 1).otherwise(0).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     # Bounded by max_train rows of two numbers.
-    rows = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
+    rows = in_small_batches(docs).select("doc_id", text_bytes().alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_bytes, without, written
+from .common import in_small_batches, text_bytes, without, written
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: A group with fewer documents than this takes the sketch of its language, or of all documents.
@@ -84,7 +84,7 @@ def base_features(docs: DataFrame) -> DataFrame:
             counts = np.array([base_counts(t) for t in batch["text"]], np.int64).reshape(-1, 5)
             yield pd.concat([batch[["doc_id", "lang", "source"]].reset_index(drop=True), pd.DataFrame(counts, columns=names)], axis=1)
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), text_bytes().alias("text"))
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), text_bytes().alias("text"))
     counted = rows.mapInPandas(run, f"doc_id long, lang string, source string, {BASE}")
     return counted.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes, without, written
+from .common import in_small_batches, text_bytes, without, written
 from .components import connected_components
 
 RADIUS = 4
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             fps = np.array([fingerprint(t, shingle) for t in batch["text"]], dtype=np.uint64)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fps.astype(np.int64)})
 
-    return docs.select("doc_id", text_bytes().alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return in_small_batches(docs).select("doc_id", text_bytes().alias("text")).mapInPandas(run, "doc_id long, fp long")
 
 
 def _keys(fps: DataFrame) -> DataFrame:
@@ -287,7 +287,7 @@ def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _read(docs: DataFrame) -> DataFrame:
-    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), text_bytes().alias("text"))
+    return in_small_batches(docs).filter("doc_id is not null").select(F.col("doc_id").cast("long"), text_bytes().alias("text"))
 
 
 def _prefixes(docs: DataFrame, common: np.ndarray, shingle: int, wanted=None) -> DataFrame:

@@ -22,6 +22,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-token pattern of the vocabulary (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -137,7 +139,7 @@ def build(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
             made = [Counter(t or "", path) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [c.text for c in made], "starts": [c.starts for c in made], "tree": [c.tree for c in made]})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, STATE)
+    return in_small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, STATE)
 
 
 def apply_edits(state: DataFrame, path: str = VOCABULARY) -> DataFrame:
