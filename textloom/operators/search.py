@@ -17,6 +17,8 @@ MODES = ("and", "or")
 TIES = ("collapse", "keep")
 #: Scores that agree to so many places count as equal.
 TIE_PLACES = 9
+#: Weights are added as whole numbers of so many parts: a sum below 9 million is exact to them.
+UNITS = 1e12
 #: Query terms are brought to the driver and sent to the executors up to so many rows, and become a filter of the scans up to so many terms.
 MAX_SENT, MAX_FILTER = 100_000, 1_000
 
@@ -50,8 +52,8 @@ def weight(scorer: str, avg_len: float, k1: float = weights.K1, b: float = weigh
 
 
 def score_sum() -> Column:
-    """Sum of a document's weights in the order of terms, so that it is the same on every run. A document has a weight for each query term at most."""
-    return F.aggregate(F.array_sort(F.collect_list(F.struct("term", "w"))), F.lit(0.0), lambda acc, x: acc + x["w"])
+    """Sum of a document's weights in whole units of 1e-12, so that it is the same in any order, and partial sums are plain numbers."""
+    return F.sum(F.round(F.col("w") * UNITS).cast("long")) / UNITS
 
 
 class Searcher:
