@@ -13,7 +13,6 @@ characters, whose boundaries fit no long, go the same way in Python.
 
 from __future__ import annotations
 
-import bisect
 import functools
 import operator
 import pickle
@@ -296,12 +295,9 @@ def viterbi_fold(unit: str = "unit", edges: str = "edges") -> Column:
 class _Tokens(dict):
     """Token ids of words, as bytes of 32-bit numbers, from the folded boundaries of their units."""
 
-    def __init__(self, hashes: np.ndarray, cuts: np.ndarray, pieces: Pieces) -> None:
+    def __init__(self, hashes: list[int], cuts: list[int], pieces: Pieces) -> None:
         super().__init__()
-        order = np.argsort(np.asarray(hashes, np.int64), kind="stable")
-        # Sorted arrays: a dict of a block's numbers would take ten times the memory.
-        self.hashes, self.cuts = (array("q", np.asarray(x, np.int64)[order].tobytes()) for x in (hashes, cuts))
-        self.pieces = pieces
+        self.cuts, self.pieces = dict(zip(hashes, cuts, strict=True)), pieces
         self.find, self.units, self.slices = re.compile(pieces.unit).findall, {}, {}
         self.packed = {p: array("i", [i]).tobytes() for p, i in pieces.ids.items()}
 
@@ -321,9 +317,7 @@ class _Tokens(dict):
             return self.packed[unit]
         raw = unit.encode("utf-8", "surrogatepass")
         h = xxhash.xxh64_intdigest(raw, 42)
-        signed = h - (1 << 64) if h >> 63 else h
-        at = bisect.bisect_left(self.hashes, signed)
-        have = self.cuts[at] if at < len(self.hashes) and self.hashes[at] == signed else None
+        have = self.cuts.get(h - (1 << 64) if h >> 63 else h)
         if have is None and not any(unit[k : k + 2] in p.ranks for k in range(n - 1)):
             have = (2 << n) - 1  # no two characters merge: such a unit isn't folded, all its boundaries stay
         ids = None
@@ -364,7 +358,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(blobs: pa.Table, found: pa.Table) -> pa.Table:
         opener = zstandard.ZstdDecompressor()
-        tokens = _Tokens(found.column("hash").to_numpy(), found.column("cuts").to_numpy(), pieces)
+        tokens = _Tokens(found.column("hash").to_numpy().tolist(), found.column("cuts").to_numpy().tolist(), pieces)
         doc_ids, values, sizes, same = [], [], [], []
         for blob in blobs.column("blob"):
             for doc_id, text in zip(*pickle.loads(opener.decompress(blob.as_py())), strict=True):
