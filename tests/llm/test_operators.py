@@ -5,6 +5,7 @@ import bisect
 import hashlib
 import html.parser
 import math
+import pickle
 import random
 import re
 import zlib
@@ -146,6 +147,27 @@ def test_the_index_names_all_within_the_radius(spark, monkeypatch):
     assert named < 0.6 * 300 * 300
 
 
+def test_an_index_keeps_nothing_of_the_texts(monkeypatch):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    passages = [[word() for _ in range(20 + k % 5)] for k in range(30)]
+    items = decontaminate.Items([(k, " ".join(w)) for k, w in enumerate(passages)])
+    texts = []
+    for w in passages * 3:
+        held = list(w)
+        held[rng.choice((0, -1))] = word()
+        texts.append(" ".join([word() for _ in range(30)] + held + [word() for _ in range(30)]))
+    texts += ["", " ".join(word() for _ in range(3000)) + " " + " ".join(passages[0] * 100)]
+    size = len(pickle.dumps(items))
+    found = [decontaminate.leaks(t, items) for t in texts]
+    assert len(pickle.dumps(items)) == size and all(found[:90]) and not found[90] and found[91]
+    monkeypatch.setattr(decontaminate, "WINDOWS", 3)
+    monkeypatch.setattr(decontaminate, "LOOKUPS", 8)
+    monkeypatch.setattr(decontaminate, "MAX_WORDS", 10)
+    decontaminate._WORD_HASHES.clear()
+    assert [decontaminate.leaks(t, items) for t in texts] == found and len(decontaminate._WORD_HASHES) <= 10
+
+
 def test_a_benchmark_in_parts_finds_the_same(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = sorted(map(tuple, decontaminate.find_leaks(docs, bench).collect()))

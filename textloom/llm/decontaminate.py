@@ -32,6 +32,8 @@ RADIUS = 22
 SHARES = (5, 5, 5, 4)
 #: The table of at most so many characters of items is sent to every executor; a larger benchmark is worked in parts, one after another.
 MAX_BENCHMARK_CHARS = 64 << 20
+#: So many windows of a text are fingerprinted, and so many comparisons with items made, at once.
+WINDOWS, LOOKUPS = 1024, 1 << 16
 _WORD = re.compile(r"\w+")
 
 
@@ -49,12 +51,13 @@ def _hash(s: str) -> int:
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
-    """Rows of 64 signs."""
-    return 2 * np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32) - 1
+    """Rows of 64 bits, a byte each."""
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
-def _pack(votes: np.ndarray) -> np.ndarray:
-    return np.packbits(votes > 0, axis=1, bitorder="little").view("<u8").ravel()
+def _pack(ones: np.ndarray, n: int) -> np.ndarray:
+    """Fingerprints of ``n`` hashes each, from how often each bit is set."""
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8").ravel()
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -64,26 +67,35 @@ def similarity(a: Counter, b: Counter) -> float:
 
 
 class MultiIndex:
-    """Fingerprints of the items of one length by their blocks; ``near`` names those within RADIUS."""
+    """Fingerprints of the items of one length by their blocks; ``near`` and ``pairs`` name those within RADIUS. It keeps nothing of what it is asked."""
 
     def __init__(self, items: list[int], prints: np.ndarray) -> None:
         self.items, self.prints = np.array(items), prints
-        self.blocks = [((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)) for b in range(4)]
-        self.lists: dict[tuple[int, int], np.ndarray] = {}
-
-    def _list(self, block: int, key: int) -> np.ndarray:
-        """Which items have a block near the key; made when a key is first asked for."""
-        found = self.lists.get((block, key))
-        if found is None:
-            if len(self.lists) * len(self.items) > 1 << 24:
-                self.lists.clear()
-            found = self.lists[block, key] = np.bitwise_count(self.blocks[block] ^ np.uint64(key)) <= SHARES[block]
-        return found
+        #: For each block its distinct values, and which of them each item has.
+        self.blocks = [np.unique(block, return_inverse=True) for block in _blocks(prints)]
+
+    def _list(self, block: int, keys) -> np.ndarray:
+        """Which items have a block near the key; a row for each where there are several."""
+        values, of_item = self.blocks[block]
+        return (np.bitwise_count(np.asarray(keys, np.uint16)[..., None] ^ values) <= SHARES[block])[..., of_item]
 
     def near(self, fingerprint: int) -> list[int]:
-        first, *others = [self._list(b, fingerprint >> 16 * b & 0xFFFF) for b in range(4)]
-        some = np.flatnonzero(first | others[0] | others[1] | others[2])
-        return self.items[some[np.bitwise_count(self.prints[some] ^ np.uint64(fingerprint)) <= RADIUS]].tolist()
+        return [k for _, k in self.pairs(np.array([fingerprint], np.uint64))]
+
+    def pairs(self, fingerprints: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(place, item) for each of the fingerprints and each item within RADIUS of it, in order."""
+        step = max(1, LOOKUPS // len(self.items))
+        for at in range(0, len(fingerprints), step):
+            asked = fingerprints[at : at + step]
+            first, *others = [self._list(b, keys) for b, keys in enumerate(_blocks(asked))]
+            places, some = np.nonzero(first | others[0] | others[1] | others[2])
+            close = np.bitwise_count(asked[places] ^ self.prints[some]) <= RADIUS
+            yield from zip((at + places[close]).tolist(), self.items[some[close]].tolist(), strict=True)
+
+
+def _blocks(prints: np.ndarray) -> np.ndarray:
+    """Four rows: the blocks of the fingerprints."""
+    return prints.astype("<u8").view("<u2").reshape(-1, 4).T
 
 
 class Items:
@@ -108,7 +120,8 @@ class Items:
             else:
                 by_size.setdefault(len(w), []).append(k)
                 hashes.update(rolled(list(w)).tolist())
-                prints[k] = _pack(_bits(np.array([_hash(x) for x in shingles(list(w))], np.uint64)).sum(0)[None, :])[0]
+                bits = _bits(np.array([_hash(x) for x in shingles(list(w))], np.uint64))
+                prints[k] = _pack(bits.sum(0, dtype=np.int32)[None, :], len(bits))[0]
         self.short_sizes = sorted({len(w) for w in self.short})
         self.index = {size: MultiIndex(items, prints[items]) for size, items in sorted(by_size.items())}
         self.hashes = np.array(sorted(hashes), np.uint64)
@@ -124,11 +137,15 @@ class Items:
         return out
 
 
+#: Words whose hashes a worker keeps.
+MAX_WORDS = 50_000
+
+
 class _WordHashes(dict):
     """Hashes of the words met so far, forgotten when they are many."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
+        if len(self) >= MAX_WORDS:
             self.clear()
         self[word] = h = _hash(word)
         return h
@@ -159,7 +176,7 @@ def leaks(text: str | None, items: Items, least: float = SIMILARITY) -> list[tup
     if here.any():
         upto = np.concatenate([[0], np.cumsum(here)])
         total = int(upto[-1])
-        votes = None
+        ones = None
         for size, index in items.index.items():
             n = size - SHINGLE + 1
             inside = min(n, len(rolls))  # of a text shorter than the item
@@ -169,13 +186,17 @@ def leaks(text: str | None, items: Items, least: float = SIMILARITY) -> list[tup
             starts = np.flatnonzero(upto[inside:] - upto[: len(upto) - inside] >= need - 1e-9)
             if not len(starts):
                 continue
-            if votes is None:
-                hashes = np.array([_hash(s) for s in shingles(words)], np.uint64)
-                votes = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(_bits(hashes), axis=0, dtype=np.int32)])
-            for s, fingerprint in zip(starts.tolist(), _pack(votes[starts + inside] - votes[starts]).tolist(), strict=True):
-                near = index.near(fingerprint)
-                counts = Counter(shingles(words[s : s + size])) if near else None
-                for k in near:
+            if ones is None:
+                hashes = np.fromiter(map(_hash, shingles(words)), np.uint64, len(rolls))
+                ones = np.zeros((len(rolls) + 1, 64), np.int32)
+                np.cumsum(_bits(hashes), axis=0, out=ones[1:])
+            for at in range(0, len(starts), WINDOWS):
+                some = starts[at : at + WINDOWS]
+                last, counts = -1, None
+                for place, k in index.pairs(_pack(ones[some + inside] - ones[some], inside)):
+                    s = int(some[place])
+                    if s != last:
+                        last, counts = s, Counter(shingles(words[s : s + size]))
                     score = similarity(counts, items.counts[k])
                     if score >= least and score > found.get(k, (0.0, 0))[0]:
                         found[k] = (score, s)
