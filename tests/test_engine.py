@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 from textloom.functions import codecs, text
-from textloom.functions.stem import stem_words
+from textloom.functions.stem import stem_word, stem_words
 from textloom.operators import index as ix
 from textloom.operators import search as se
 from textloom.sources import readers, writers
@@ -247,3 +247,32 @@ def test_stems_against_the_published_rules(spark):
     rows_ = stem_words(words.union(spark.createDataFrame([(w,) for w in more], "term string")).distinct()).collect()
     wrong = [(r.term, r.stem, porter.stem(r.term)) for r in rows_ if len(r.term) > 3 and r.stem != porter.stem(r.term)]
     assert len(rows_) > 10_000 and not wrong, wrong[:20]
+
+
+def test_documents_are_counted_on_their_own(spark):
+    bodies = [*BODIES, "yes Yes running runs run the", "", "cat"]
+    for filtered in (False, True):
+        counted = ix.count_postings(docs(spark, bodies), filtered)
+        words = docs(spark, bodies).select("docid", F.explode(text.tokens("body")).alias("term")).collect()
+        kept = [(stem_word(r.term) if filtered else r.term, r.docid) for r in words if not filtered or r.term not in readers.STOPWORDS]
+        lengths = Counter(d for _, d in kept)
+        assert sorted(rows(counted)) == sorted((t, d, n, lengths[d]) for (t, d), n in Counter(kept).items())
+        assert "Exchange" not in plan(counted) and "Join" not in plan(counted)
+
+
+def test_stems_in_workers_are_those_of_the_engine(spark):
+    words = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.explode(text.tokens("text")).alias("term")).distinct()
+    ends = "ational izer bli iveness icate ful ement ion sion tion sses ies eed ed ing ly y e ll s es ss".split()
+    more = [(b + e,) for b in ("", "y", "a", "tr", "hop", "hopp", "fil", "yell", "relat", "conform") for e in ends]
+    got = stem_words(words.union(spark.createDataFrame(more, "term string")).distinct()).collect()
+    wrong = [(r.term, r.stem, stem_word(r.term)) for r in got if r.stem != stem_word(r.term)]
+    assert len(got) > 50_000 and not wrong, wrong[:20]
+
+
+@pytest.mark.parametrize("mode", ["or"])
+def test_a_filtered_search_stems_no_posting_by_expressions(spark, mode):
+    """A filter by stems went below the join with the vocabulary, to each token."""
+    index = ix.build_index(docs(spark, ["the foxes were running", "a fox runs", "dogs run"]), filtered=True)
+    found = se.search(index, "fox running", mode)
+    assert [r.docid for r in found.collect()] == [1]
+    assert "rlike" not in found._jdf.queryExecution().toString().lower() and "regexp_extract" not in found._jdf.queryExecution().toString().lower()

@@ -2,11 +2,19 @@
 
 Each step is a SQL expression over the step before. The same chain is generated for Spark and for DuckDB, whose
 functions for regular expressions differ in name; the patterns use neither look-around nor back references nor backslashes.
+
+Whole texts take the same steps in Python, where a worker keeps the stems of frequent words: there a join with the stemmed
+vocabulary would shuffle every word of every text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from functools import lru_cache
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _C, _V = "[^aeiou]", "[aeiouy]"
@@ -114,3 +122,81 @@ def stem_sql(source: str, column: str = "term", into: str = "stem") -> str:
     for e in steps(DUCKDB, into):
         sql = f"(select * replace (({e}) as {into}) from {sql})"
     return sql
+
+
+#: Stems that a Python worker keeps, and texts that it gets at once.
+KEPT, TEXT_ROWS = 1 << 18, 1024
+
+
+@lru_cache(None)
+def _compiled(pattern: str) -> re.Pattern:
+    return re.compile(pattern)
+
+
+def _like(w: str, pattern: str) -> bool:
+    return _compiled(pattern).search(w) is not None
+
+
+def _replaced(w: str, table: dict[str, str], ends: tuple[str, ...]) -> str:
+    if not w.endswith(ends):
+        return w
+    found = _compiled(f"^(.+?)({'|'.join(table)})$").search(w)
+    return found[1] + table[found[2]] if found and _like(found[1], M1) else w
+
+
+def _unplural(w: str) -> str:
+    if not w.endswith("s"):
+        return w
+    return w[:-2] if _like(w, ".(ss|i)es$") else w[:-1] if _like(w, ".[^s]s$") else w
+
+
+def _unparticiple(w: str) -> str:
+    if not w.endswith(("ed", "ing")):
+        return w
+    if _like(w, ".eed$"):
+        return w[:-1] if _like(w[:-3], M1) else w
+    found = _compiled("^(.+?)(ed|ing)$").search(w)
+    if not found or not _like(base := found[1], HAS_VOWEL):
+        return w
+    if _like(base, "(at|bl|iz)$"):
+        return base + "e"
+    if _like(base, DOUBLE):
+        return base[:-1]
+    return base + "e" if _like(base, CVC) else base
+
+
+_SECOND, _THIRD = tuple(SECOND), tuple(THIRD)
+
+
+@lru_cache(KEPT)
+def stem_word(word: str) -> str:
+    """The stem of one lower-case word by the steps of ``steps``; a word's end says which of them need a look."""
+    if len(word) <= 2:
+        return word
+    w = "Y" + word[1:] if word[0] == "y" else word
+    w = _unparticiple(_unplural(_unparticiple(_unplural(w))))
+    if w.endswith("y") and len(w) > 1 and _like(w[:-1], HAS_VOWEL):
+        w = w[:-1] + "i"
+    w = _replaced(_replaced(w, SECOND, _SECOND), THIRD, _THIRD)
+    if w.endswith(FOURTH) and (found := _compiled(f"^(.+?)({'|'.join(FOURTH)})$").search(w)):
+        w = found[1] if _like(found[1], M2) else w
+    elif w.endswith("ion") and _like(w, ".(s|t)ion$") and _like(w[:-3], M2):
+        w = w[:-3]
+    if w.endswith("e") and len(w) > 1 and (_like(w[:-1], M2) or (_like(w[:-1], M_1) and not _like(w[:-1], CVC))):
+        w = w[:-1]
+    return (w[:-1] if w.endswith("ll") and _like(w, M2) else w).lower()
+
+
+def stem_lists(spark: SparkSession, words: Column | str) -> Column:
+    """A list of lower-case words of each row -> their stems, in order."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= TEXT_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+
+    @F.arrow_udf("array<string>")
+    def stems(lists: pa.Array) -> pa.Array:
+        coded = lists.flatten().dictionary_encode()
+        values = pa.array([stem_word(w) for w in coded.dictionary.to_pylist()], pa.string())
+        ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(lists), 0).cast(pa.int32()))
+        return pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), values.take(coded.indices))
+
+    return stems(words)

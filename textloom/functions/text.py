@@ -70,6 +70,16 @@ def _empty() -> Column:
     return F.array().cast("array<string>")
 
 
+def counted(words: Column | str) -> Column:
+    """Each distinct word of a list and how often it occurs: array of (term, tf), by runs of the sorted list."""
+
+    def runs(w: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(0), F.size(w)), lambda i: (i > 0) & F.coalesce(F.get(w, i - 1) != F.get(w, i), F.lit(True)))
+        return _once(ends, lambda e: F.transform(e, lambda i, k: F.struct(F.get(w, i - 1).alias("term"), (i - F.when(k > 0, F.get(e, k - 1)).otherwise(0)).alias("tf"))))
+
+    return _once(F.sort_array(_column(words)), runs)
+
+
 def word_ngrams(words: Column | str, n: int) -> Column:
     """n neighbouring words joined by a space; none where there are fewer."""
 
