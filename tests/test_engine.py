@@ -276,3 +276,18 @@ def test_a_filtered_search_stems_no_posting_by_expressions(spark, mode):
     found = se.search(index, "fox running", mode)
     assert [r.docid for r in found.collect()] == [1]
     assert "rlike" not in found._jdf.queryExecution().toString().lower() and "regexp_extract" not in found._jdf.queryExecution().toString().lower()
+
+
+def test_batch_scores_are_dealt_out_by_document(spark, small):
+    """Pairs of query and document were shuffled, as were those of query and score."""
+    queries = spark.createDataFrame([(1, "red fox"), (2, "dog fox red"), (3, "zzz"), (4, "is big")], "qid int, text string")
+    scored = se.score(small, se.query_terms(queries))
+    best = se.best_by_query(scored)
+    assert sorted(rows(best)) == sorted((r.qid, r.docid, r.score) for r in se.top_k_by_query(scored, 3).collect() if r.rank == 1)
+    exchanges = [x.split(", [plan_id")[0] for x in plan(best).splitlines() if "Exchange hashpartitioning(" in x]
+    assert [x for x in exchanges if "hashpartitioning(docid#" in x] and not [x for x in exchanges if "qid#" in x and ("docid#" in x or "score" in x)]
+
+
+def test_best_by_query_breaks_ties(spark):
+    scored = spark.createDataFrame([(1, 7, 0.5), (1, 3, 0.5 + 1e-12), (1, 9, 0.4), (2, 5, -1.0), (2, 4, -2.0)], "qid int, docid long, score double")
+    assert sorted(rows(se.best_by_query(scored))) == [(1, 3, 0.5), (2, 5, -1.0)]

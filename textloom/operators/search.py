@@ -88,8 +88,8 @@ class Searcher:
 class Known:
     """The known terms of queries, (qid, term, df, idf and bounds), and the postings of these terms.
 
-    Up to MAX_SENT rows the terms are on the driver: they filter both scans, so that only their row groups are read, and are
-    sent to the executors instead of shuffling postings. Beyond that all of it is joined.
+    Up to MAX_SENT rows the terms and their rows of the lexicon are on the driver: they filter both scans, so that only their row
+    groups are read and counted, and are sent to the executors instead of shuffling postings. Beyond that all of it is joined.
     """
 
     def __init__(self, index: Index, terms: DataFrame) -> None:
@@ -97,18 +97,30 @@ class Known:
         self.few = len(rows) <= MAX_SENT
         postings, lexicon = index.postings, index.lexicon
         if self.few:
+            spark = terms.sparkSession
             names = sorted({r["term"] for r in rows})
             if len(names) <= MAX_FILTER:
                 held = F.col("term").isin(*names) if names else F.lit(False)
                 postings, lexicon = postings.filter(held), lexicon.filter(held)
-            terms = F.broadcast(terms.sparkSession.createDataFrame(rows, terms.select("qid", "term").schema))
+            else:
+                lexicon = lexicon.join(F.broadcast(spark.createDataFrame([(n,) for n in names], "term string")), "term", "left_semi")
+            lexicon = F.broadcast(spark.createDataFrame([tuple(r) for r in lexicon.collect()], lexicon.schema))
+            self.numbers = spark.createDataFrame(list(enumerate(names)), "no int, term string")
+            terms = F.broadcast(spark.createDataFrame(rows, terms.select("qid", "term").schema))
         self.terms = known_terms(terms, lexicon)
-        self.postings = postings
+        self.lexicon, self.postings = lexicon, postings
 
-    def matched(self) -> DataFrame:
-        """(qid, term, docid, tf, doclen, idf)"""
-        known = self.terms.select("qid", "term", "idf")
-        return self.postings.join(F.broadcast(known) if self.few else known, "term")
+    def scored(self, weight: Column) -> DataFrame:
+        """(qid, docid, score, _n) of all documents with a term; the weight is of a posting (tf, doclen, idf).
+
+        A posting is weighted once and dealt out by document under its term's number; which queries ask for it is looked up there,
+        so what is shuffled doesn't grow with the number of queries.
+        """
+        if not self.few:
+            return _scored(self.postings.join(self.terms.select("qid", "term", "idf"), "term").withColumn("w", weight))
+        found = self.postings.join(F.broadcast(self.numbers.join(self.lexicon.select("term", "idf"), "term")), "term")
+        asked = self.terms.join(F.broadcast(self.numbers), "term").select("no", "qid")
+        return _scored(found.select("no", "docid", weight.alias("w")).repartition("docid").join(F.broadcast(asked), "no"))
 
 
 def score(index: Index, terms: DataFrame, mode: str = "or", scorer: str = "bm25", k1: float = weights.K1, b: float = weights.B) -> DataFrame:
@@ -117,7 +129,7 @@ def score(index: Index, terms: DataFrame, mode: str = "or", scorer: str = "bm25"
     Unknown terms are dropped; a query without a known term has no rows.
     """
     known = Known(index, terms)
-    scored = _scored(known.matched().withColumn("w", weight(scorer, index.stats.avg_len, k1, b)))
+    scored = known.scored(weight(scorer, index.stats.avg_len, k1, b))
     if mode == "and":
         needed = known.terms.groupBy("qid").agg(F.count("*").alias("_all"))
         scored = scored.join(F.broadcast(needed) if known.few else needed, "qid").filter("_n = _all")
@@ -143,6 +155,12 @@ def top_k_by_query(scored: DataFrame, k: int, ties: str = "collapse") -> DataFra
     return ranked.filter(F.col("rank") <= k).select("qid", "rank", "docid", "score")
 
 
+def best_by_query(scored: DataFrame) -> DataFrame:
+    """(qid, docid, score): the first row of ``top_k_by_query``, in one aggregation that is partial before the shuffle."""
+    best = scored.groupBy("qid").agg(F.max(F.struct(F.round("score", TIE_PLACES).alias("score"), (-F.col("docid")).alias("first"))).alias("_best"))
+    return best.select("qid", (-F.col("_best.first")).alias("docid"), F.col("_best.score").alias("score"))
+
+
 def _one(spark: SparkSession, query: str) -> DataFrame:
     return spark.createDataFrame([(0, query)], "qid int, text string")
 
@@ -229,7 +247,8 @@ def evaluation_run(index: Index, queries: DataFrame, k: int = 10, scorer: str =
 
     docno is the docid less one, as text.
     """
-    best = search_many(index, queries, "or", scorer, k, stopwords=stopwords).filter("rank = 1").select("qid", "docid", "score")
+    _check("or", scorer, k, "collapse")
+    best = best_by_query(score(index, query_terms(queries, index.filtered, stopwords), "or", scorer))
     all_queries = queries.select("qid").distinct().join(best, "qid", "left")
     docid = F.coalesce("docid", F.lit(int(index.stats.num_docs) + 1)).cast("long")
     return all_queries.select("qid", docid.alias("docid"), (docid - 1).cast("string").alias("docno"), F.coalesce("score", F.lit(0.0)).alias("score"))
