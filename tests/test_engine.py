@@ -269,7 +269,7 @@ def test_stems_in_workers_are_those_of_the_engine(spark):
     assert len(got) > 50_000 and not wrong, wrong[:20]
 
 
-@pytest.mark.parametrize("mode", ["or"])
+@pytest.mark.parametrize("mode", ["or", "and"])
 def test_a_filtered_search_stems_no_posting_by_expressions(spark, mode):
     """A filter by stems went below the join with the vocabulary, to each token."""
     index = ix.build_index(docs(spark, ["the foxes were running", "a fox runs", "dogs run"]), filtered=True)
