@@ -291,3 +291,14 @@ def test_batch_scores_are_dealt_out_by_document(spark, small):
 def test_best_by_query_breaks_ties(spark):
     scored = spark.createDataFrame([(1, 7, 0.5), (1, 3, 0.5 + 1e-12), (1, 9, 0.4), (2, 5, -1.0), (2, 4, -2.0)], "qid int, docid long, score double")
     assert sorted(rows(se.best_by_query(scored))) == [(1, 3, 0.5), (2, 5, -1.0)]
+
+
+def shuffled(df):
+    return [x for x in plan(df).splitlines() if "Exchange hashpartitioning" in x]
+
+
+def test_skip_blocks_shuffle_postings_once(spark):
+    """Postings were shuffled to be counted and again to be numbered."""
+    lists = ix.skip_blocks(ix.count_postings(docs(spark)).drop("doclen"))
+    assert sorted((r.term, r.block_no, r.end_docid, r.n_postings) for r in lists.collect() if r.term in ("red", "dog")) == [("dog", 0, 1, 1), ("dog", 1, 2, 1), ("red", 0, 1, 1), ("red", 1, 3, 1), ("red", 2, 6, 1)]
+    assert not [x for x in shuffled(lists) if "doclen" in x or "hashpartitioning(term#" in x and "docid#" in x]
