@@ -302,3 +302,11 @@ def test_skip_blocks_shuffle_postings_once(spark):
     lists = ix.skip_blocks(ix.count_postings(docs(spark)).drop("doclen"))
     assert sorted((r.term, r.block_no, r.end_docid, r.n_postings) for r in lists.collect() if r.term in ("red", "dog")) == [("dog", 0, 1, 1), ("dog", 1, 2, 1), ("red", 0, 1, 1), ("red", 1, 3, 1), ("red", 2, 6, 1)]
     assert not [x for x in shuffled(lists) if "doclen" in x or "hashpartitioning(term#" in x and "docid#" in x]
+
+
+def test_stop_words_of_the_default_list_are_sent_not_shuffled(spark):
+    from textloom.plans import queries
+
+    left = queries.stopword_filter(spark, "/root/testdata/sf0.001")
+    assert left.filter("term in ('the', 'of', 'zero')").count() == 0 and left.count() == left.select("docid", "term").distinct().count()
+    assert not shuffled(left) and "SortMergeJoin" not in plan(left) and "BroadcastHashJoin" in plan(left)

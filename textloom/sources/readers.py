@@ -46,9 +46,9 @@ STOPWORDS = tuple(
 
 
 def load_stopwords(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """(word): the default list, or the lines of a file as they are, without empty ones and repeats."""
+    """(word): the default list, which joins send to the executors, or the lines of a file as they are, without empty ones and repeats."""
     if path is None:
-        return spark.createDataFrame([(w,) for w in STOPWORDS], "word string")
+        return F.broadcast(spark.createDataFrame([(w,) for w in STOPWORDS], "word string"))
     return spark.read.text(path).select(F.col("value").alias("word")).filter("word <> ''").distinct()
 
 
