@@ -310,3 +310,16 @@ def test_stop_words_of_the_default_list_are_sent_not_shuffled(spark):
     left = queries.stopword_filter(spark, "/root/testdata/sf0.001")
     assert left.filter("term in ('the', 'of', 'zero')").count() == 0 and left.count() == left.select("docid", "term").distinct().count()
     assert not shuffled(left) and "SortMergeJoin" not in plan(left) and "BroadcastHashJoin" in plan(left)
+
+
+@pytest.mark.parametrize("filtered", [False, True])
+def test_a_search_counts_the_query_terms_only(spark, filtered):
+    """The lexicon was made twice, and documents were counted whole."""
+    index = ix.build_index(docs(spark, [*BODIES, "dogs and foxes"]), filtered)
+    kept = index.only(["fox", "red"])
+    assert sorted(rows(kept)) == sorted(rows(index.postings.filter("term in ('fox', 'red')"))) and index.only([]).count() == 0
+    for mode in ("and", "or"):
+        found = se.search(index, "red fox zzz", mode, ties="keep")
+        assert rows(found) == rows(se.search(ix.Index(index.doc_index, index.postings, index.lexicon, index.stats, filtered), "red fox zzz", mode, ties="keep"))
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1
+    assert se.search(index, "").count() == 0

@@ -100,8 +100,7 @@ class Known:
             spark = terms.sparkSession
             names = sorted({r["term"] for r in rows})
             if len(names) <= MAX_FILTER:
-                held = F.col("term").isin(*names) if names else F.lit(False)
-                postings, lexicon = postings.filter(held), lexicon.filter(held)
+                postings, lexicon = index.of_terms(names)
             else:
                 lexicon = lexicon.join(F.broadcast(spark.createDataFrame([(n,) for n in names], "term string")), "term", "left_semi")
             lexicon = F.broadcast(spark.createDataFrame([tuple(r) for r in lexicon.collect()], lexicon.schema))
