@@ -323,3 +323,8 @@ def test_a_search_counts_the_query_terms_only(spark, filtered):
         assert rows(found) == rows(se.search(ix.Index(index.doc_index, index.postings, index.lexicon, index.stats, filtered), "red fox zzz", mode, ties="keep"))
         assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1
     assert se.search(index, "").count() == 0
+
+
+def test_a_filtered_lexicon_is_one_exchange(spark):
+    """Stems were joined and counts summed by term and document before the lexicon."""
+    assert len(shuffled(ix.build_index(docs(spark), filtered=True).lexicon)) == 1
